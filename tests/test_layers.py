@@ -1,0 +1,184 @@
+"""Reading raw files, writing tables by day, and the chain of layers."""
+
+from __future__ import annotations
+
+import dataclasses
+import datetime as dt
+from pathlib import Path
+
+import golden
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.config import PURCHASE, EntitySpec
+from tidelog.plans.layers import Layers, run_layers
+from tidelog.session import object_store_conf, shared_folder
+from tidelog.sources.events import MALFORMED, read_events
+from tidelog.sources.tables import read_table, write_days
+
+EXTRA_INFO = PURCHASE.sources[2]
+
+
+def _deliver(base: Path, extra: dict[str, str] | None = None) -> None:
+    for name, text in golden.feeds().items():
+        folder = base / "raw" / name
+        folder.mkdir(parents=True)
+        (folder / "events.csv").write_text(text + (extra or {}).get(name, ""), encoding="utf-8")
+
+
+def _days(path: str) -> set[str]:
+    return {folder.name for folder in Path(path).glob("transaction_date=*")}
+
+
+def test_chain_builds_the_golden_history(spark, tmp_path):
+    _deliver(tmp_path)
+    run = run_layers(spark, str(tmp_path), PURCHASE)
+    assert run.counts == {
+        "bronze/purchase": {"rows": 16, "malformed": 0, "undated": 0},
+        "bronze/product_item": {"rows": 12, "malformed": 0, "undated": 0},
+        "bronze/purchase_extra_info": {"rows": 11, "malformed": 0, "undated": 0},
+        "eventos_unificados": {"rows": 36},
+        "purchase_diario": {"rows": 22},
+        "purchase_historico": {"rows": 22, "current": 10},
+    }
+    expected = golden.table("History (derived;")
+    rows = run.history.orderBy("purchase_id", "dt_inicio_validade").collect()
+    assert golden.printed(rows, list(expected[0])) == [tuple(row.values()) for row in expected]
+
+    layers = Layers(str(tmp_path), PURCHASE)
+    assert len(_days(layers.bronze("purchase"))) == 13
+    assert run.history.columns[-1] == "transaction_date"
+    stored = dict(run.history.dtypes)
+    assert stored["transaction_datetime"] == "timestamp_ntz"
+    assert stored["transaction_date"] == "date"
+    assert stored["fontes_no_dia"] == "array<string>"
+    assert len(stored) == 16
+    assert "hash_evento" in read_table(spark, layers.daily).columns
+    assert read_table(spark, layers.bronze("purchase")).columns == [
+        "transaction_datetime", "purchase_id", "buyer_id", "prod_item_id", "order_date",
+        "release_date", "producer_id", "transaction_date",
+    ]
+
+
+def test_rebuilding_gives_the_same_rows(spark, tmp_path):
+    _deliver(tmp_path)
+    first = run_layers(spark, str(tmp_path), PURCHASE).history.collect()
+    second = run_layers(spark, str(tmp_path), PURCHASE).history.collect()
+    assert sorted(map(str, first)) == sorted(map(str, second))
+
+
+def test_rebuilding_forgets_a_day_that_is_gone(spark, tmp_path):
+    _deliver(tmp_path, {"purchase_extra_info": "2024-05-05 10:00:00,2024-05-05,73,nacional\n"})
+    layers = Layers(str(tmp_path), PURCHASE)
+    assert run_layers(spark, str(tmp_path), PURCHASE).history.count() == 23
+    assert "transaction_date=2024-05-05" in _days(layers.history)
+    raw = tmp_path / "raw" / "purchase_extra_info" / "events.csv"
+    raw.write_text(golden.feeds()["purchase_extra_info"], encoding="utf-8")
+    assert run_layers(spark, str(tmp_path), PURCHASE).history.count() == 22
+    assert "transaction_date=2024-05-05" not in _days(layers.history)
+
+
+def test_undated_events_are_stored_and_held_or_kept(spark, tmp_path):
+    line = ",2023-01-01,73,nacional\n"
+    _deliver(tmp_path, {"purchase_extra_info": line})
+    run = run_layers(spark, str(tmp_path), PURCHASE)
+    assert run.counts["bronze/purchase_extra_info"] == {"rows": 12, "malformed": 0, "undated": 1}
+    assert run.history.count() == 22
+    stored = read_table(spark, Layers(str(tmp_path), PURCHASE).bronze("purchase_extra_info"))
+    assert stored.filter("transaction_date IS NULL").count() == 1
+
+    kept = run_layers(spark, str(tmp_path), PURCHASE, undated="keep").history
+    versions = kept.filter("purchase_id = 73").orderBy("dt_inicio_validade").collect()
+    assert [row.dt_inicio_validade for row in versions] == [None, dt.date(2023, 4, 18)]
+    assert [row.dt_fim_validade for row in versions] == [dt.date(2023, 4, 17), None]
+    assert [row.subsidiary for row in versions] == ["nacional", "nacional"]
+    with pytest.raises(ValueError, match="undated"):
+        run_layers(spark, str(tmp_path), PURCHASE, undated="drop")
+
+
+def test_malformed_cell_is_null_and_counted(spark, tmp_path):
+    line = "2023-01-21 08:00:00,2023-01-21,55,696969,ten,50.00\n"
+    _deliver(tmp_path, {"product_item": line})
+    run = run_layers(spark, str(tmp_path), PURCHASE)
+    assert run.counts["bronze/product_item"] == {"rows": 13, "malformed": 1, "undated": 0}
+    version = run.history.filter("dt_inicio_validade = DATE'2023-01-21'").first()
+    assert version.item_quantity is None and str(version.purchase_value) == "50.00"
+    raw = read_events(spark, f"{tmp_path}/raw/product_item", PURCHASE.sources[1])
+    bad = raw.filter(F.col(MALFORMED).isNotNull()).collect()
+    assert [row[MALFORMED] for row in bad] == [line.strip()]
+
+
+def test_reordered_header_fails(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text(
+        "transaction_datetime,transaction_date,subsidiary,purchase_id\n"
+        "2023-01-23 00:05:00,2023-01-23,nacional,55\n"
+    )
+    with pytest.raises(Exception, match="[Hh]eader"):
+        read_events(spark, str(tmp_path / "swapped.csv"), EXTRA_INFO).collect()
+
+
+def test_an_error_stops_the_chain(spark, tmp_path):
+    _deliver(tmp_path)
+    raw = tmp_path / "raw" / "purchase" / "events.csv"
+    raw.write_text("purchase_id,oops\n1,2\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        run_layers(spark, str(tmp_path), PURCHASE)
+    assert not (tmp_path / "silver").exists()
+
+
+def test_refreshing_days_leaves_the_others(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2)), (3, dt.date(2024, 1, 2))],
+        "id INT, day DATE",
+    )
+    assert write_days(rows, path, "day") == {"rows": 3}
+    fresh = spark.createDataFrame([(9, dt.date(2024, 1, 2))], "id INT, day DATE")
+    assert write_days(fresh, path, "day", only_days_present=True) == {"rows": 1}
+    assert {row.id for row in read_table(spark, path).collect()} == {1, 9}
+    write_days(fresh, path, "day")
+    assert {row.id for row in read_table(spark, path).collect()} == {9}
+
+
+def test_a_day_is_a_few_files_and_a_huge_day_is_split(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    days = (
+        spark.range(0, 400_000, numPartitions=16)
+        .withColumn("text", F.sha2(F.col("id").cast("string"), 512))
+        .withColumn("day", F.expr("DATE'2024-01-01' + CAST(if(id < 300000, 0, id % 20) AS INT)"))
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "4MB")
+        write_days(days, path, "day")
+    finally:
+        spark.conf.set(size, before)
+    files = {
+        folder.name: len(list(folder.glob("*.parquet"))) for folder in Path(path).glob("day=*")
+    }
+    assert files["day=2024-01-01"] > 2
+    assert all(count <= 2 for day, count in files.items() if day != "day=2024-01-01")
+
+
+def test_shared_folder_follows_the_session(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert first.startswith(f"{root}/x-") and first != second
+
+
+def test_object_store_settings():
+    conf = object_store_conf("http://store:9000", "key", "secret", tls=False)
+    assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000"
+    assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    assert conf["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
+
+
+def test_a_column_has_one_owner():
+    twice = (*PURCHASE.sources, dataclasses.replace(EXTRA_INFO, name="copy"))
+    with pytest.raises(ValueError, match="owned by"):
+        dataclasses.replace(PURCHASE, sources=twice)
+    absent = (dataclasses.replace(EXTRA_INFO, owned=("nowhere",)),)
+    with pytest.raises(ValueError, match="does not deliver"):
+        dataclasses.replace(PURCHASE, sources=absent)
+    assert isinstance(PURCHASE, EntitySpec)

@@ -13,13 +13,15 @@ MALFORMED = "_malformed"
 def read_events(spark: SparkSession, path: str, source: SourceSpec) -> DataFrame:
     """The feed as delivered, plus the raw line in ``_malformed`` where a cell did not parse.
 
-    Such a cell reads as NULL and its row stays. The header is checked: without that, Spark matches
+    Such a cell reads as NULL and its row stays. Only the columns a query needs are converted, so
+    only those can turn out malformed. The whole header is checked: without that, Spark matches
     columns by position and a reordered file loads silently wrong.
     """
     return (
         spark.read.schema(f"{source.ddl}, {MALFORMED} STRING")
         .option("header", True)
         .option("enforceSchema", False)
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", MALFORMED)
         .csv(path)
     )
