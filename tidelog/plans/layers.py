@@ -6,6 +6,7 @@ step, never a recomputation from raw.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,25 +56,25 @@ class LayerRun:
 def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     """Type every raw feed and store it by day; returns counts per feed.
 
-    Rows without an event time are stored too, under the NULL day, and counted as ``undated``.
+    Rows without an event time are stored too, under the NULL day, and counted as ``undated``. The
+    feeds are independent jobs and are started together, so that a long tail of one leaves no
+    executor idle.
     """
     spec = layers.spec
-    feeds = typed_events(spark, layers.raw, spec)
-    return {
-        name: write_days(
-            # The raw line is only counted, not stored.
-            feed.withColumn("_bad", F.col(MALFORMED).isNotNull()).drop(MALFORMED),
-            layers.bronze(name),
-            spec.event_day,
-            counts={
-                "malformed": F.count_if(F.col("_bad")),
-                "undated": F.count_if(F.col(spec.event_day).isNull()),
-            },
-            drop=["_bad"],
-        )
-        for name, feed in feeds.items()
+    counts = {
+        "malformed": F.count_if(F.col("_bad")),
+        "undated": F.count_if(F.col(spec.event_day).isNull()),
     }
 
+    def store(name: str, feed: DataFrame) -> dict[str, int]:
+        # The raw line is only counted, not stored.
+        checked = feed.withColumn("_bad", F.col(MALFORMED).isNotNull()).drop(MALFORMED)
+        return write_days(checked, layers.bronze(name), spec.event_day, counts=counts, drop=["_bad"])
+
+    feeds = typed_events(spark, layers.raw, spec)
+    with ThreadPoolExecutor(len(feeds)) as pool:
+        return dict(zip(feeds, pool.map(store, feeds.keys(), feeds.values()), strict=True))
+
 
 def dated_events(spark: SparkSession, layers: Layers, undated: str) -> dict[str, DataFrame]:
     """The typed feeds. ``hold`` leaves undated rows where they are, ``keep`` lets them through;
