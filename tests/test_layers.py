@@ -10,6 +10,7 @@ import golden
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.__main__ import main
 from tidelog.config import PURCHASE, EntitySpec
 from tidelog.plans.layers import Layers, run_layers
 from tidelog.session import object_store_conf, shared_folder
@@ -60,6 +61,15 @@ def test_chain_builds_the_golden_history(spark, tmp_path):
     ]
 
 
+def test_steps_one_at_a_time(spark, tmp_path):
+    _deliver(tmp_path)
+    for step in ("bronze", "timeline", "daily"):
+        main(["--base", str(tmp_path), "--step", step])
+    counts = main(["--base", f"{tmp_path}/", "--step", "history"])
+    assert counts == {"purchase_historico": {"rows": 22, "current": 10}}
+    assert main(["--base", str(tmp_path)])["eventos_unificados"] == {"rows": 36}
+
+
 def test_rebuilding_gives_the_same_rows(spark, tmp_path):
     _deliver(tmp_path)
     first = run_layers(spark, str(tmp_path), PURCHASE).history.collect()

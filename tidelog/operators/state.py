@@ -83,18 +83,24 @@ def collapse_days(filled: DataFrame, spec: EntitySpec) -> DataFrame:
     )
 
 
+def _moment(spec: EntitySpec, source: SourceSpec) -> Column:
+    """When the feed spoke that day and with what hash; NULL if it did not."""
+    block = F.col(_block(source))
+    order = [block[name].alias(name) for name in (spec.event_time, spec.fingerprint)]
+    return F.when(block.isNotNull(), F.struct(*order))
+
+
 def fold_days(events: DataFrame, spec: EntitySpec) -> DataFrame:
-    """One row per key and day: its last moment and the last block of each feed, NULL if silent.
+    """One row per key and day with the last block of each feed, NULL where it was silent.
 
     Takes the timeline as well as plain fingerprinted events: of several events of a feed on a day
     the newest is what a maximum keeps, and re-sends change no maximum. Input partitions are folded
     before the shuffle, so a key or day of any size sends at most one row per task.
     """
-    moment = [spec.event_time, spec.fingerprint]
+    order = [spec.event_time, spec.fingerprint]
     return events.groupBy(spec.key, spec.event_day).agg(
-        F.max(F.struct(*moment)).alias("_last"),
         *[
-            F.max(F.when(_spoke(spec, source), F.struct(*moment, *_text_first(source)))).alias(
+            F.max(F.when(_spoke(spec, source), F.struct(*order, *_text_first(source)))).alias(
                 _block(source)
             )
             for source in spec.sources
@@ -106,6 +112,7 @@ def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
     """Carry the blocks of folded days forward. A key has at most one row per calendar day here, so
     the window by key stays small whatever the key's share of the events."""
     so_far = _up_to_here(spec, spec.event_day)
+    moments = [_moment(spec, source) for source in spec.sources]
     spoke_today = [
         F.when(F.col(_block(source)).isNotNull(), F.lit(source.name))
         for source in sorted(spec.sources, key=lambda s: s.name)
@@ -113,7 +120,7 @@ def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
     carried = days.select(
         spec.key,
         spec.event_day,
-        "_last",
+        (F.greatest(*moments) if len(moments) > 1 else moments[0]).alias("_last"),
         F.array_compact(F.array(*spoke_today)).alias(spec.day_sources),
         *[
             F.last(_block(source), ignorenulls=True).over(so_far).alias(_block(source))

@@ -54,7 +54,7 @@ class LayerRun:
 
 
 def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
-    """Type every raw feed and store it by day; returns counts per feed.
+    """Type every raw feed and store it by day; returns counts per table, like every step here.
 
     Rows without an event time are stored too, under the NULL day, and counted as ``undated``. The
     feeds are independent jobs and are started together, so that a long tail of one leaves no
@@ -73,7 +73,8 @@ def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
 
     feeds = typed_events(spark, layers.raw, spec)
     with ThreadPoolExecutor(len(feeds)) as pool:
-        return dict(zip(feeds, pool.map(store, feeds.keys(), feeds.values()), strict=True))
+        stored = list(pool.map(store, feeds.keys(), feeds.values()))
+    return {f"bronze/{name}": got for name, got in zip(feeds, stored, strict=True)}
 
 
 def dated_events(spark: SparkSession, layers: Layers, undated: str) -> dict[str, DataFrame]:
@@ -88,6 +89,29 @@ def dated_events(spark: SparkSession, layers: Layers, undated: str) -> dict[str,
     return {name: feed.filter(F.col(spec.event_day).isNotNull()) for name, feed in feeds.items()}
 
 
+def build_timeline(
+    spark: SparkSession, layers: Layers, undated: str = "hold"
+) -> dict[str, dict[str, int]]:
+    spec = layers.spec
+    timeline = unify(dated_events(spark, layers, undated), spec)
+    return {spec.timeline_table: write_days(timeline, layers.timeline, spec.event_day)}
+
+
+def build_daily(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
+    spec = layers.spec
+    daily = daily_state(read_table(spark, layers.timeline), spec)
+    return {spec.daily_table: write_days(daily, layers.daily, spec.event_day)}
+
+
+def build_history(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
+    spec = layers.spec
+    current = {"current": F.count_if(F.col(spec.is_current))}
+    versions = scd2(read_table(spark, layers.daily), spec)
+    return {
+        spec.history_table: write_days(versions, layers.history, spec.event_day, counts=current)
+    }
+
+
 def run_layers(
     spark: SparkSession, base_path: str, spec: EntitySpec, undated: str = "hold"
 ) -> LayerRun:
@@ -97,19 +121,8 @@ def run_layers(
     event that has moved.
     """
     layers = Layers(base_path.rstrip("/"), spec)
-    counts = {f"bronze/{name}": got for name, got in ingest(spark, layers).items()}
-
-    timeline = unify(dated_events(spark, layers, undated), spec)
-    counts[spec.timeline_table] = write_days(timeline, layers.timeline, spec.event_day)
-
-    daily = daily_state(read_table(spark, layers.timeline), spec)
-    counts[spec.daily_table] = write_days(daily, layers.daily, spec.event_day)
-
-    versions = scd2(read_table(spark, layers.daily), spec)
-    counts[spec.history_table] = write_days(
-        versions,
-        layers.history,
-        spec.event_day,
-        counts={"current": F.count_if(F.col(spec.is_current))},
-    )
+    counts = ingest(spark, layers)
+    counts |= build_timeline(spark, layers, undated)
+    counts |= build_daily(spark, layers)
+    counts |= build_history(spark, layers)
     return LayerRun(read_table(spark, layers.history), counts)
