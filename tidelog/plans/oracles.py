@@ -132,9 +132,7 @@ def _past_frozen() -> str:
 
 ORACLES: dict[str, str] = {
     "csv_typed_scan": _on_log("SELECT * FROM log"),
-    "cdc_typed_events": _on_log(
-        "SELECT event_time, event_day, entity, amount, paid_date FROM log WHERE source = 'purchase'"
-    ),
+    "cdc_typed_events": _on_log("SELECT * FROM log"),
     "source_day_counts": _on_log(
         """SELECT source, count(*) AS events, count(DISTINCT event_day) AS days
 FROM log GROUP BY source"""

@@ -85,9 +85,9 @@ def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cdc_typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The purchase feed with its day derived anew over whatever was delivered."""
-    delivered = change_feeds(spark, sf_dir)["purchase"]
-    return with_event_day(delivered.withColumn(USER.event_day, F.lit("1900-01-01")), USER)
+    """All events with their day derived anew over a wrong delivered one."""
+    delivered = change_log(spark, sf_dir).withColumn(USER.event_day, F.lit("1900-01-01"))
+    return with_event_day(delivered, USER)
 
 
 def source_days(spark: SparkSession, sf_dir: str) -> DataFrame:
