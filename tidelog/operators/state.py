@@ -10,6 +10,8 @@ most one row per key, feed and day.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -83,11 +85,10 @@ def collapse_days(filled: DataFrame, spec: EntitySpec) -> DataFrame:
     )
 
 
-def _moment(spec: EntitySpec, source: SourceSpec) -> Column:
-    """When the feed spoke that day and with what hash; NULL if it did not."""
+def _part_of_block(source: SourceSpec, fields: Iterable[str]) -> Column:
+    """Some fields of a feed's block; NULL if the feed did not speak."""
     block = F.col(_block(source))
-    order = [block[name].alias(name) for name in (spec.event_time, spec.fingerprint)]
-    return F.when(block.isNotNull(), F.struct(*order))
+    return F.when(block.isNotNull(), F.struct(*[block[name].alias(name) for name in fields]))
 
 
 def fold_days(events: DataFrame, spec: EntitySpec) -> DataFrame:
@@ -110,18 +111,31 @@ def fold_days(events: DataFrame, spec: EntitySpec) -> DataFrame:
 
 def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
     """Carry the blocks of folded days forward. A key has at most one row per calendar day here, so
-    the window by key stays small whatever the key's share of the events."""
-    so_far = _up_to_here(spec, spec.event_day)
-    moments = [_moment(spec, source) for source in spec.sources]
+    the window by key stays small whatever the key's share of the events.
+
+    Time and hash of each block have done their work by then: the latest of them is kept for the
+    day, the rest is not shuffled again.
+    """
+    moments = [
+        _part_of_block(source, [spec.event_time, spec.fingerprint]) for source in spec.sources
+    ]
     spoke_today = [
         F.when(F.col(_block(source)).isNotNull(), F.lit(source.name))
         for source in sorted(spec.sources, key=lambda s: s.name)
     ]
-    carried = days.select(
+    said = days.select(
         spec.key,
         spec.event_day,
         (F.greatest(*moments) if len(moments) > 1 else moments[0]).alias("_last"),
         F.array_compact(F.array(*spoke_today)).alias(spec.day_sources),
+        *[_part_of_block(source, source.owned).alias(_block(source)) for source in spec.sources],
+    )
+    so_far = _up_to_here(spec, spec.event_day)
+    carried = said.select(
+        spec.key,
+        spec.event_day,
+        "_last",
+        spec.day_sources,
         *[
             F.last(_block(source), ignorenulls=True).over(so_far).alias(_block(source))
             for source in spec.sources
