@@ -6,7 +6,6 @@ step, never a recomputation from raw.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from tidelog.operators.history import scd2
 from tidelog.operators.state import daily_state
 from tidelog.operators.timeline import unify
 from tidelog.sources.events import MALFORMED, typed_events
-from tidelog.sources.tables import read_table, write_days
+from tidelog.sources.tables import read_table, start_together, write_days
 
 
 @dataclass(frozen=True)
@@ -56,9 +55,7 @@ class LayerRun:
 def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     """Type every raw feed and store it by day; returns counts per table, like every step here.
 
-    Rows without an event time are stored too, under the NULL day, and counted as ``undated``. The
-    feeds are independent jobs and are started together, so that a long tail of one leaves no
-    executor idle.
+    Rows without an event time are stored too, under the NULL day, and counted as ``undated``.
     """
     spec = layers.spec
     counts = {
@@ -71,10 +68,8 @@ def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
         checked = feed.withColumn("_bad", F.col(MALFORMED).isNotNull()).drop(MALFORMED)
         return write_days(checked, layers.bronze(name), spec.event_day, counts=counts, drop=["_bad"])
 
-    feeds = typed_events(spark, layers.raw, spec)
-    with ThreadPoolExecutor(len(feeds)) as pool:
-        stored = list(pool.map(store, feeds.keys(), feeds.values()))
-    return {f"bronze/{name}": got for name, got in zip(feeds, stored, strict=True)}
+    stored = start_together(store, typed_events(spark, layers.raw, spec))
+    return {f"bronze/{name}": got for name, got in stored.items()}
 
 
 def dated_events(spark: SparkSession, layers: Layers, undated: str) -> dict[str, DataFrame]:

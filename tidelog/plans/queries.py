@@ -41,7 +41,7 @@ from tidelog.plans.tables import (
 )
 from tidelog.session import shared_folder
 from tidelog.sources.events import MALFORMED, typed_events, with_event_day
-from tidelog.sources.tables import read_table, write_days
+from tidelog.sources.tables import read_table, start_together, write_days
 
 AS_OF = dt.date(2024, 1, 15)
 REFRESHED = dt.date(2024, 1, 15)
@@ -73,9 +73,12 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deliver_raw(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """Drop the feeds as CSV with a header, one folder each, as their origin would."""
-    for name, feed in change_feeds(spark, sf_dir).items():
+
+    def drop(name: str, feed: DataFrame) -> None:
         feed.write.option("header", True).csv(f"{folder}/{name}")
 
+    start_together(drop, change_feeds(spark, sf_dir))
+
 
 def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = shared_folder(spark, "csv_typed_scan")

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "rows"
+T = TypeVar("T")
+
+
+def start_together(
+    write: Callable[[str, DataFrame], T], frames: dict[str, DataFrame]
+) -> dict[str, T]:
+    """Run one write per frame at the same time. They are independent jobs, and the long tail of one
+    should leave no executor idle. The first error is raised once all have ended."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(zip(frames, pool.map(write, frames.keys(), frames.values()), strict=True))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
