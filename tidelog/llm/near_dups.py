@@ -34,6 +34,8 @@ from tidelog.llm.components import components
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _BLOCK = 2048
 _WORDS_KEPT = 1_000_000
+_LEADERS = 4
+_CELLS = 64
 
 
 @dataclass(frozen=True)
@@ -102,13 +104,13 @@ def signature(shingles: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.
 
 
 def _profiles(spec: NearDups, with_sets: bool) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
-    """Rows (id, key, n, bands), or (id, key, n, values, shingles) for those compared."""
+    """Rows (id, key, n, bands), or (id, key, n, sig, shingles, cells) for those compared."""
 
     def start():
         hashes, seeds = _WordHashes(), _seeds(spec.values)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, sizes, bands, values, sets = [], [], [], [], []
+            keys, sizes, bands, values, sets, spread = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, spec.words, hashes)
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
@@ -117,6 +119,7 @@ def _profiles(spec: NearDups, with_sets: bool) -> Callable[[], Callable[[pa.Reco
                 if with_sets:
                     values.append(None if sig is None else sig.tobytes())
                     sets.append(shingles.tobytes())
+                    spread.append(np.bincount((shingles % np.uint64(_CELLS)).astype(np.int64), minlength=_CELLS))
                 elif sig is None:
                     bands.append(None)
                 else:
@@ -129,7 +132,7 @@ def _profiles(spec: NearDups, with_sets: bool) -> Callable[[], Callable[[pa.Reco
                     )
             columns = {"id": batch.column(0), "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int64())}
             if with_sets:
-                columns |= {"sig": pa.array(values, pa.binary()), "shingles": pa.array(sets, pa.binary())}
+                columns |= {"sig": pa.array(values, pa.binary()), "shingles": pa.array(sets, pa.binary()), "cells": pa.array(spread, pa.list_(pa.int32()))}
             else:
                 columns |= {"bands": pa.array(bands, pa.list_(pa.int64()))}
             return pa.RecordBatch.from_pydict(columns)
@@ -159,6 +162,18 @@ def least_matches(spec: NearDups) -> np.ndarray:
     return np.array(out)
 
 
+def _exploded() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Rows (cid, shingle, cell) of sets."""
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        all_ = np.concatenate(sets)
+        cid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        return pa.RecordBatch.from_pydict({"cid": pa.array(cid), "shingle": pa.array(all_), "cell": pa.array((all_.view(np.uint64) % np.uint64(_CELLS)).astype(np.int32))})
+
+    return apply
+
+
 def _sequential(spec: NearDups) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
     """Pairs (a, b, sig_a, sig_b) that no batch rules out, with the number of values alike."""
 
@@ -274,11 +289,11 @@ def near_duplicates(
     wanted = settled(shared.select("cid").distinct().join(classes.select("cid", "key", "id"), "cid"))
     ids = wanted.select(F.col("id").alias("wanted_id"))
     again = texts.join(ids, texts.id.eqNullSafe(ids.wanted_id), "left_semi")
-    made = map_batches(again, _profiles(spec, True), "id bigint, key binary, n bigint, sig binary, shingles binary")
+    made = map_batches(again, _profiles(spec, True), "id bigint, key binary, n bigint, sig binary, shingles binary, cells array<int>")
     # Rows of a repeated or missing id bring sets that nobody asked for, or one several times.
     profiles = settled(
         wanted.select("cid", "key").join(
-            made.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")),
+            made.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"), F.first("cells").alias("cells")),
             "key",
         ).drop("key")
     )
@@ -293,24 +308,74 @@ def near_duplicates(
         rest = _across(likely.select("a", "b"), settled(components(links, "a", "b")))
         return settled(links.union(_linked(rest, profiles, spec)))
 
+    def open_places(links: DataFrame) -> DataFrame:
+        """Places on shared band keys that hold several components, with the component so far."""
+        roots = settled(components(links, "a", "b")).withColumnRenamed("node", "cid")
+        known = settled(shared.join(roots, "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root")))
+        several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        return settled(known.join(settled(several.select("band")), "band"))
+
     links = grow(None, pairs)
-    roots = settled(components(links, "a", "b"))
-    known = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "cid", "n", F.coalesce("root", "cid").alias("root")
+    known = open_places(links)
+
+    # Shingles that a class has alone among those still open are in no intersection. The others are counted by
+    # cells of their hash: the smaller counts of two classes, summed over cells, bound their intersection.
+    asked = settled(known.select("cid").distinct())
+    sets = map_batches(
+        profiles.join(asked, "cid").select("cid", "shingles"), _exploded, "cid bigint, shingle bigint, cell int"
     )
-    mixed = settled(
-        known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    alone = (
+        sets.groupBy("shingle")
+        .agg(F.count("*").alias("owners"), F.min("cid").alias("cid"), F.min("cell").alias("cell"))
+        .where("owners = 1")
+        .groupBy("cid")
+        .agg(F.count("*").alias("alone"), F.array(*[F.count_if(F.col("cell") == i) for i in range(_CELLS)]).alias("off"))
     )
-    known = settled(known.join(mixed, "band"))
-    other = known.select("band", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    crossing = (
-        known.join(other, "band")
-        .where((F.col("a") < F.col("cid")) & (F.col("root_a") != F.col("root")))
-        .where(fits)
-        .select("a", F.col("cid").alias("b"))
+    common = F.expr("CASE WHEN off IS NULL THEN cells ELSE zip_with(cells, off, (x, y) -> CAST(x - y AS int)) END")
+    shape = settled(
+        profiles.select("cid", "cells")
+        .join(asked, "cid")
+        .join(settled(alone), "cid", "left")
+        .join(classes.select("cid", "bands"), "cid")
+        .select("cid", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), common.alias("cells"))
+    )
+    can_link = F.expr(
+        f"100 * least(n_a - alone_a, n - alone) >= {spec.percent} * (n_a + n - least(n_a - alone_a, n - alone))"
+    )
+
+    # More leaders: on each band key the classes with the smallest share of shingles they have alone, and the
+    # first in other orders. In a large group of copies that differ by about as much as is allowed, a
+    # class that misses one leader meets a better one, and the group grows together.
+    known = settled(known.join(shape.select("cid", "alone"), "cid"))
+    member = F.struct("cid", "n", "root", "alone")
+    orders = [F.struct(F.col("alone") / F.col("n"), F.xxhash64("cid", F.lit(i))) for i in range(2)]
+    orders += [F.xxhash64("cid", F.lit(i)) for i in range(_LEADERS)]
+    leaders = known.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(member, o) for o in orders])).alias("leads"))
+    met = (
+        known.join(settled(leaders), "band")
+        .select("cid", "n", "root", "alone", F.explode("leads").alias("lead"))
+        .where(F.col("lead.root") != F.col("root"))
+        .select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"), "n", "alone", F.col("lead.n").alias("n_a"), F.col("lead.alone").alias("alone_a"))
+        .where(can_link)
+        .select("a", "b")
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
+    met = settled(met)
+    links = grow(links, met)
+
+    # What is left: the pairs of a band key across components, each on the first band key it shares.
+    known = settled(open_places(links).join(shape, "cid"))
+    other = known.select("band", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "alone", "bands", "cells")])
+    first = F.expr("get(bands, CAST(array_position(zip_with(bands, bands_a, (x, y) -> x = y), true) AS int) - 1) = band")
+    overlap = "aggregate(zip_with(cells, cells_a, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    close = F.expr(f"{100 + spec.percent} * {overlap} >= {spec.percent} * (n_a + n)")
+    crossing = (
+        known.join(other, "band")
+        .where((F.col("cid_a") < F.col("cid")) & (F.col("root_a") != F.col("root")) & can_link & first & close)
+        .select(F.col("cid_a").alias("a"), F.col("cid").alias("b"))
+        .join(pairs.union(met), ["a", "b"], "left_anti")
+    )
     links = grow(links, settled(crossing))
 
     members = settled(
