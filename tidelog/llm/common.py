@@ -15,6 +15,7 @@ from tidelog.session import shared_folder
 # Tasks get the functions of this package with the job: executors need not have it on their path.
 cloudpickle.register_pickle_by_value(tidelog.llm)
 
+_ROWS_PER_TASK = 200_000
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -22,17 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df``, written as a table in the shared folder and read from there from now on.
 
     It is computed once, whatever uses it, and lost executors cost no more than the tasks they ran. Unlike
     a checkpointed frame, a table has a known size: Spark need not guess it from the whole history of
     the frame, a guess that is squared in every round of a loop and soon takes minutes.
-    The tables stay until :func:`clear_scratch`, as results may still read them.
+    ``rows``, if known, says about how many narrow rows there are: they are written by as many tasks as that
+    takes, not by one for every shuffle partition. The tables stay until :func:`clear_scratch`, as results may still read them.
     """
     spark = df.sparkSession
     folders = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
     folders.append(shared_folder(spark, "llm"))
+    if rows is not None:
+        df = df.coalesce(1 + rows // _ROWS_PER_TASK)
     df.write.parquet(folders[-1])
     return spark.read.schema(df.schema).parquet(folders[-1])
 

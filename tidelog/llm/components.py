@@ -18,10 +18,10 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, size: int) -> DataFrame:
     """Larger neighbours of a node go to the smallest of its neighbourhood."""
     near = _both_ways(links)
-    low = settled(near.groupBy("u").agg(F.least("u", F.min("v")).alias("low")))
+    low = settled(near.groupBy("u").agg(F.least("u", F.min("v")).alias("low")), 2 * size)
     return (
         near.where("v > u")
         .join(low, "u")
@@ -30,9 +30,9 @@ def _large_star(links: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, size: int) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of these. Links point downwards: u > v."""
-    low = settled(links.groupBy("u").agg(F.min("v").alias("low")))
+    low = settled(links.groupBy("u").agg(F.min("v").alias("low")), size)
     moved = links.join(low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
 
@@ -55,7 +55,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     stars = settled(stars)
     before = _state(stars)
     while before[0]:
-        stars = settled(_small_star(settled(_large_star(stars))))
+        size = before[0]
+        stars = settled(_small_star(settled(_large_star(stars, size), size), size), size)
         now = _state(stars)
         if now == before:
             break

@@ -239,17 +239,6 @@ def _linked(pairs: DataFrame, profiles: DataFrame, spec: NearDups) -> DataFrame:
     return map_batches(_of_pairs(pairs, profiles, "shingles"), _exact(spec), "a bigint, b bigint")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be connected."""
-    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    return (
-        pairs.join(root("a"), "a", "left")
-        .join(root("b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        .drop("root_a", "root_b")
-    )
-
-
 def near_duplicates(
     docs: DataFrame, spec: NearDups = NearDups(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -298,15 +287,8 @@ def near_duplicates(
         ).drop("key")
     )
 
-    def grow(links: DataFrame | None, candidates: DataFrame) -> DataFrame:
-        """``links``, with those among the candidates that connect what is not connected yet."""
-        likely = settled(_plausible(candidates, profiles, spec))
-        # The most similar partner first: it is nearly always linked and settles the rest.
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-        found = settled(_linked(best.select("a", "b"), profiles, spec))
-        links = found if links is None else settled(links.union(found))
-        rest = _across(likely.select("a", "b"), settled(components(links, "a", "b")))
-        return settled(links.union(_linked(rest, profiles, spec)))
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        return settled(_linked(settled(_plausible(candidates, profiles, spec)), profiles, spec))
 
     def open_places(links: DataFrame) -> DataFrame:
         """Places on shared band keys that hold several components, with the component so far."""
@@ -315,7 +297,7 @@ def near_duplicates(
         several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         return settled(known.join(settled(several.select("band")), "band"))
 
-    links = grow(None, pairs)
+    links = confirmed(pairs)
     known = open_places(links)
 
     # Shingles that a class has alone among those still open are in no intersection. The others are counted by
@@ -362,7 +344,7 @@ def near_duplicates(
         .join(pairs, ["a", "b"], "left_anti")
     )
     met = settled(met)
-    links = grow(links, met)
+    links = links.union(confirmed(met))
 
     # What is left: the pairs of a band key across components, each on the first band key it shares.
     known = settled(open_places(links).join(shape, "cid"))
@@ -376,7 +358,7 @@ def near_duplicates(
         .select(F.col("cid_a").alias("a"), F.col("cid").alias("b"))
         .join(pairs.union(met), ["a", "b"], "left_anti")
     )
-    links = grow(links, settled(crossing))
+    links = links.union(confirmed(settled(crossing)))
 
     members = settled(
         classes.select("key", "id", "cid")
