@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tidelog.__main__ import main
 from tidelog.config import PURCHASE, EntitySpec
+from tidelog.operators.timeline import union_sources
+from tidelog.plans.history import history_of
 from tidelog.plans.layers import Layers, run_layers
 from tidelog.session import object_store_conf, shared_folder
-from tidelog.sources.events import MALFORMED, read_events
+from tidelog.sources.events import MALFORMED, read_events, typed_events
 from tidelog.sources.tables import read_table, write_days
 
 EXTRA_INFO = PURCHASE.sources[2]
@@ -54,8 +56,8 @@ def test_chain_builds_the_golden_history(spark, tmp_path):
     assert stored["transaction_date"] == "date"
     assert stored["fontes_no_dia"] == "array<string>"
     assert len(stored) == 16
-    assert "hash_evento" in read_table(spark, layers.daily).columns
-    assert read_table(spark, layers.bronze("purchase")).columns == [
+    assert "hash_evento" in spark.read.parquet(layers.daily).columns
+    assert spark.read.parquet(layers.bronze("purchase")).columns == [
         "transaction_datetime", "purchase_id", "buyer_id", "prod_item_id", "order_date",
         "release_date", "producer_id", "transaction_date",
     ]
@@ -88,22 +90,39 @@ def test_rebuilding_forgets_a_day_that_is_gone(spark, tmp_path):
     assert "transaction_date=2024-05-05" not in _days(layers.history)
 
 
-def test_undated_events_are_stored_and_held_or_kept(spark, tmp_path):
+def test_undated_events_go_through(spark, tmp_path):
     line = ",2023-01-01,73,nacional\n"
     _deliver(tmp_path, {"purchase_extra_info": line})
     run = run_layers(spark, str(tmp_path), PURCHASE)
     assert run.counts["bronze/purchase_extra_info"] == {"rows": 12, "malformed": 0, "undated": 1}
-    assert run.history.count() == 22
-    stored = read_table(spark, Layers(str(tmp_path), PURCHASE).bronze("purchase_extra_info"))
-    assert stored.filter("transaction_date IS NULL").count() == 1
-
-    kept = run_layers(spark, str(tmp_path), PURCHASE, undated="keep").history
-    versions = kept.filter("purchase_id = 73").orderBy("dt_inicio_validade").collect()
+    assert run.history.count() == 23
+    versions = run.history.filter("purchase_id = 73").orderBy("dt_inicio_validade").collect()
     assert [row.dt_inicio_validade for row in versions] == [None, dt.date(2023, 4, 18)]
     assert [row.dt_fim_validade for row in versions] == [dt.date(2023, 4, 17), None]
     assert [row.subsidiary for row in versions] == ["nacional", "nacional"]
-    with pytest.raises(ValueError, match="undated"):
-        run_layers(spark, str(tmp_path), PURCHASE, undated="drop")
+    feeds = {name: f.drop(MALFORMED) for name, f in typed_events(spark, f"{tmp_path}/raw", PURCHASE).items()}
+    direct = history_of(union_sources(feeds, PURCHASE), PURCHASE).select(run.history.columns)
+    assert direct.exceptAll(run.history).count() == run.history.exceptAll(direct).count() == 0
+
+
+@pytest.mark.parametrize("empty", [["purchase"], ["product_item"], ["purchase_extra_info"], None])
+def test_feeds_without_rows(spark, tmp_path, empty):
+    _deliver(tmp_path)
+    for name in empty or [source.name for source in PURCHASE.sources]:
+        file = tmp_path / "raw" / name / "events.csv"
+        file.write_text(file.read_text(encoding="utf-8").splitlines()[0] + "\n", encoding="utf-8")
+    history = run_layers(spark, str(tmp_path), PURCHASE).history
+    assert (history.count() > 0) == (empty is not None)
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2))], "id INT, day DATE")
+    write_days(rows, path, "day")
+    broken = rows.withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("broken")).cast("int")).otherwise(7))
+    with pytest.raises(Exception, match="broken"):
+        write_days(broken, path, "day")
+    assert {row.id for row in read_table(spark, path, rows.schema, "day").collect()} == {1, 2}
 
 
 def test_malformed_cell_is_null_and_counted(spark, tmp_path):
@@ -138,16 +157,20 @@ def test_an_error_stops_the_chain(spark, tmp_path):
 
 def test_refreshing_days_leaves_the_others(spark, tmp_path):
     path = f"{tmp_path}/t"
-    rows = spark.createDataFrame(
-        [(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2)), (3, dt.date(2024, 1, 2))],
-        "id INT, day DATE",
-    )
-    assert write_days(rows, path, "day") == {"rows": 3}
-    fresh = spark.createDataFrame([(9, dt.date(2024, 1, 2))], "id INT, day DATE")
-    assert write_days(fresh, path, "day", only_days_present=True) == {"rows": 1}
-    assert {row.id for row in read_table(spark, path).collect()} == {1, 9}
+    first, second, third = (dt.date(2024, 1, i) for i in (1, 2, 3))
+    rows = spark.createDataFrame([(1, first), (2, second), (3, second), (4, third)], "id INT, day DATE")
+    ids = lambda: {row.id for row in read_table(spark, path, rows.schema, "day").collect()}
+    assert write_days(rows, path, "day") == {"rows": 4}
+    fresh = spark.createDataFrame([(9, second)], "id INT, day DATE")
+    assert write_days(fresh, path, "day", only_days=[second, third]) == {"rows": 1}
+    assert ids() == {1, 9}
+    with pytest.raises(Exception, match="not refreshed"):
+        write_days(fresh, path, "day", only_days=[first])
+    assert ids() == {1, 9}
+    assert write_days(fresh.limit(0), path, "day", only_days=[first]) == {"rows": 0}
+    assert ids() == {9}
     write_days(fresh, path, "day")
-    assert {row.id for row in read_table(spark, path).collect()} == {9}
+    assert ids() == {9}
 
 
 def test_a_day_is_a_few_files_and_a_huge_day_is_split(spark, tmp_path):

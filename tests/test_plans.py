@@ -15,7 +15,7 @@ from tidelog.operators.history import scd2
 from tidelog.plans.queries import QUERIES
 from tidelog.plans.tables import USER, USER_GMV, change_log
 from tidelog.plans.history import history_of
-from tidelog.sources.tables import read_table, write_days
+from tidelog.sources.tables import write_days
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {"csv_typed_scan", "layer_roundtrip", "partition_refresh"}
@@ -90,7 +90,7 @@ def test_groups_are_reduced_before_the_shuffle(spark):
 def test_daily_state_and_history_share_one_shuffle_sort_and_window(spark, tmp_path):
     timeline = QUERIES["latest_per_source_day"](spark, SF_DIR)
     write_days(timeline, f"{tmp_path}/timeline", USER.event_day)
-    stored = read_table(spark, f"{tmp_path}/timeline")
+    stored = spark.read.parquet(f"{tmp_path}/timeline")
     text = plan(scd2(daily_state(stored, USER), USER))
     assert [nodes(text, n) for n in ("Exchange", "Sort", "Window")] == [1, 1, 1]
 
@@ -116,7 +116,7 @@ def test_large_rankings_join_by_sort_merge(spark, big_tables):
 def test_stored_history_is_pruned_by_day_and_column(spark, tmp_path):
     path = f"{tmp_path}/history"
     write_days(history_of(change_log(spark, SF_DIR), USER), path, USER.event_day)
-    stored = read_table(spark, path)
+    stored = spark.read.parquet(path)
 
     now = plan(gmv_current(stored, USER, USER_GMV), "formatted")
     assert "IsNotNull(paid_date)" in now and "EqualTo(is_current,true)" in now

@@ -5,9 +5,15 @@ Nothing in the operators is tied to one business entity; every function takes on
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
+# Spark's names of types, in any case: those of text, and those whose values have no one text.
+_TEXT = re.compile(r"\s*(string|varchar|char|character)\b", re.I)
+_INEXACT = re.compile(r"\s*(double|float|real)\b", re.I)
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """One change feed: its delivered columns (name to SQL type) and those only it may write."""
@@ -23,7 +29,7 @@ class SourceSpec:
     @property
     def text_columns(self) -> list[str]:
         """Owned columns of string type, the only ones whose text can contain a separator."""
-        return [column for column in self.owned if self.schema[column] == "STRING"]
+        return [c for c in self.owned if _TEXT.match(self.schema[c])]
 
 
 @dataclass(frozen=True)
@@ -50,6 +56,8 @@ class EntitySpec:
             for column in source.owned:
                 if column not in source.schema:
                     raise ValueError(f"{source.name} owns {column!r} but does not deliver it")
+                if _INEXACT.match(source.schema[column]):
+                    raise ValueError(f"{column!r} is a floating-point number, whose text is not stable")
                 if column in seen:
                     raise ValueError(f"{column!r} is owned by {seen[column]} and {source.name}")
                 seen[column] = source.name

@@ -37,20 +37,20 @@ def top_products(
 ) -> DataFrame:
     """The ``n`` products with the highest item value for each producer.
 
-    Purchases of an item by the same producer are counted before the join and the count multiplies
-    the item value. The join then yields a row per item and producer, not per item and purchase, so
-    an item bought by a third of all purchases costs no more than any other.
+    Both sides are summed before the join: purchases to a count per item and producer, items to a value per item
+    and product. The join then yields a row per item, producer and product and no more, however often an
+    item is bought or listed.
     """
     bought = (
         purchases.filter(F.col("purchase_status") == status)
         .groupBy(*ITEM_KEY, "producer_id")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    value = F.col("purchase_value") * F.col("_times")
+    worth = items.groupBy(*ITEM_KEY, "product_id").agg(F.sum("purchase_value").alias("_value"))
     revenue = (
-        bought.join(items.select(*ITEM_KEY, "product_id", "purchase_value"), ITEM_KEY)
+        bought.join(worth, ITEM_KEY)
         .groupBy("producer_id", "product_id")
-        .agg(F.round(F.sum(value), 2).alias(REVENUE))
+        .agg(F.round(F.sum(F.col("_value") * F.col("_times")), 2).alias(REVENUE))
     )
     best = Window.partitionBy("producer_id").orderBy(F.desc(REVENUE), "product_id")
     return (

@@ -10,12 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelog.config import EntitySpec
 from tidelog.operators.history import scd2
 from tidelog.operators.state import daily_state
 from tidelog.operators.timeline import unify
-from tidelog.sources.events import MALFORMED, typed_events
+from tidelog.sources.events import MALFORMED, typed_events, with_event_day
 from tidelog.sources.tables import read_table, start_together, write_days
 
 
@@ -72,44 +73,47 @@ def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     return {f"bronze/{name}": got for name, got in stored.items()}
 
 
-def dated_events(spark: SparkSession, layers: Layers, undated: str) -> dict[str, DataFrame]:
-    """The typed feeds. ``hold`` leaves undated rows where they are, ``keep`` lets them through;
-    they then sort before everything else of their key."""
-    if undated not in ("hold", "keep"):
-        raise ValueError(f"undated must be 'hold' or 'keep', not {undated!r}")
-    spec = layers.spec
-    feeds = {s.name: read_table(spark, layers.bronze(s.name)) for s in spec.sources}
-    if undated == "keep":
-        return feeds
-    return {name: feed.filter(F.col(spec.event_day).isNotNull()) for name, feed in feeds.items()}
+def _schemas(spark: SparkSession, spec: EntitySpec) -> dict[str, StructType]:
+    """Schema of every stored table, found by planning the chain over feeds without rows."""
+    feeds = {
+        source.name: spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in source.schema.items()))
+        for source in spec.sources
+    }
+    feeds = {name: with_event_day(feed, spec) for name, feed in feeds.items()}
+    timeline = unify(feeds, spec)
+    daily = daily_state(timeline, spec)
+    frames = {**feeds, spec.timeline_table: timeline, spec.daily_table: daily}
+    return {name: frame.schema for name, frame in frames.items()} | {spec.history_table: scd2(daily, spec).schema}
+
+
+def _stored(spark: SparkSession, layers: Layers, name: str, path: str) -> DataFrame:
+    return read_table(spark, path, _schemas(spark, layers.spec)[name], layers.spec.event_day)
 
 
-def build_timeline(
-    spark: SparkSession, layers: Layers, undated: str = "hold"
-) -> dict[str, dict[str, int]]:
+def build_timeline(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
+    """Undated events go through like all others; they sort before everything else of their key."""
     spec = layers.spec
-    timeline = unify(dated_events(spark, layers, undated), spec)
+    feeds = {s.name: _stored(spark, layers, s.name, layers.bronze(s.name)) for s in spec.sources}
+    timeline = unify(feeds, spec)
     return {spec.timeline_table: write_days(timeline, layers.timeline, spec.event_day)}
 
 
 def build_daily(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
-    daily = daily_state(read_table(spark, layers.timeline), spec)
+    daily = daily_state(_stored(spark, layers, spec.timeline_table, layers.timeline), spec)
     return {spec.daily_table: write_days(daily, layers.daily, spec.event_day)}
 
 
 def build_history(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
     current = {"current": F.count_if(F.col(spec.is_current))}
-    versions = scd2(read_table(spark, layers.daily), spec)
+    versions = scd2(_stored(spark, layers, spec.daily_table, layers.daily), spec)
     return {
         spec.history_table: write_days(versions, layers.history, spec.event_day, counts=current)
     }
 
 
-def run_layers(
-    spark: SparkSession, base_path: str, spec: EntitySpec, undated: str = "hold"
-) -> LayerRun:
+def run_layers(spark: SparkSession, base_path: str, spec: EntitySpec) -> LayerRun:
     """Rebuild every layer from raw, one after the other; an error stops the chain.
 
     Always a full rebuild: replacing only the days present would leave behind the old day of an
@@ -117,7 +121,7 @@ def run_layers(
     """
     layers = Layers(base_path.rstrip("/"), spec)
     counts = ingest(spark, layers)
-    counts |= build_timeline(spark, layers, undated)
+    counts |= build_timeline(spark, layers)
     counts |= build_daily(spark, layers)
     counts |= build_history(spark, layers)
-    return LayerRun(read_table(spark, layers.history), counts)
+    return LayerRun(_stored(spark, layers, spec.history_table, layers.history), counts)

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from tidelog.functions.fingerprint import NULL_TEXT, SEPARATOR
 from tidelog.plans.queries import AS_OF, FULFILLED, RANKED_YEAR
-from tidelog.plans.tables import FEEDS, USER, USER_GMV
+from tidelog.plans.tables import USER, USER_GMV
 
 _OWNED = ", ".join(USER.owned_columns)
 _KEYS = "event_time, event_day, entity, source"
 _DAILY = f"event_time, event_day, entity, {_OWNED}"
 _VERSION = f"{_DAILY}, day_sources, valid_from"
-_FEEDS = ", ".join(f"'{name}'" for name in FEEDS)
 _CONTENT = ", ".join(
     f"coalesce(CAST({column} AS VARCHAR), '{NULL_TEXT}')" for column in sorted(USER.columns)
 )
@@ -30,7 +29,7 @@ delivered AS (
            CAST(value AS DECIMAL(18,2)) AS money,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
     FROM events
-    WHERE event_type IN ({_FEEDS}) AND {where}
+    WHERE {where}
 ),
 log AS (
     SELECT {_KEYS},

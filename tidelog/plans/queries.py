@@ -45,6 +45,7 @@ from tidelog.sources.tables import read_table, start_together, write_days
 
 AS_OF = dt.date(2024, 1, 15)
 REFRESHED = dt.date(2024, 1, 15)
+EMPTIED = dt.date(1900, 1, 1)
 RANKED_YEAR = 1997
 FULFILLED = "F"
 MONEY = "decimal(28,2)"
@@ -67,8 +68,8 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_source_day(_hashed(spark, sf_dir), USER)
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history_of(change_log(spark, sf_dir), USER)
+def _history(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
+    return history_of(change_log(spark, sf_dir, until), USER)
 
 
 def _deliver_raw(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -136,7 +137,8 @@ def gmv_daily_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gmv_daily_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = register(_history(spark, sf_dir), "user_history")
+    """Later events cannot change what was known on a day, so the scan leaves them out."""
+    view = register(_history(spark, sf_dir, AS_OF), "user_history")
     return _money(gmv_as_of_sql(spark, view, USER, USER_GMV, AS_OF), GMV_VALUE)
 
 
@@ -171,14 +173,19 @@ def layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store a history with one day gone wrong, then replace that day alone."""
-    path = f"{shared_folder(spark, 'partition_refresh')}/{USER.history_table}"
+    """Store a history with one day gone wrong and one that should be empty, then replace these two from a
+    second stored table."""
+    base = shared_folder(spark, "partition_refresh")
+    path, source, day = f"{base}/{USER.history_table}", f"{base}/fresh", USER.event_day
     history = _history(spark, sf_dir)
-    that_day = F.col(USER.event_day) == F.lit(REFRESHED)
-    wrong = history.withColumn("amount", F.when(~that_day, F.col("amount")))
-    write_days(wrong, path, USER.event_day)
-    write_days(history.filter(that_day), path, USER.event_day, only_days_present=True)
-    return _flat(read_table(spark, path))
+    write_days(history, source, day)
+    stored = read_table(spark, source, history.schema, day)
+    that_day = F.col(day) == F.lit(REFRESHED)
+    wrong = stored.withColumn("amount", F.when(~that_day, F.col("amount")))
+    stray = stored.filter(that_day).withColumn(day, F.lit(EMPTIED))
+    write_days(wrong.unionByName(stray), path, day)
+    write_days(stored.filter(that_day), path, day, only_days=[REFRESHED, EMPTIED])
+    return _flat(read_table(spark, path, history.schema, day))
 
 
 def history_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ makes ties common, and the purchase feed is delivered twice, which gives re-send
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
     """Events with the hour they fell in and the integer of their properties.
 
     The hour is found by subtraction: truncating would go through a zoned timestamp.
@@ -60,13 +62,17 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     past_the_hour = F.make_dt_interval(
         F.lit(0), F.lit(0), F.minute("ts"), F.expr("extract(SECOND FROM ts)")
     )
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    if until is not None:
+        next_day = F.lit(dt.datetime.combine(until + dt.timedelta(days=1), dt.time())).cast(events.schema["ts"].dataType)
+        events = events.filter((F.col("ts") < next_day) | F.col("ts").isNull())
+    return events.select(
         F.col("user_id").alias("entity"),
         "event_type",
         (F.col("ts") - past_the_hour).alias("event_time"),
         F.to_date("ts").alias("event_day"),
-        F.col("value").cast("decimal(18,2)").alias("money"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        F.col("value").try_cast("decimal(18,2)").alias("money"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
     )
 
 
@@ -102,10 +108,11 @@ def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_log(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
     """The stacked feeds in one scan: same rows as the union of :func:`change_feeds`.
 
-    As the feeds share a table here, stacking them by filter would read it once per feed.
+    As the feeds share a table here, stacking them by filter would read it once per feed. An event type that no
+    feed has is an error. ``until`` leaves events after that day in the scan; undated ones stay.
     """
     tag = F.col("event_type")
     columns = [
@@ -113,8 +120,10 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, said in _said().items()
         for column, value in said.items()
     ]
-    return _delivered(_facts(spark, sf_dir).filter(tag.isin(FEEDS))).select(
-        "event_time", "event_day", "entity", tag.alias(USER.source_tag), *columns
+    unknown = F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce(tag, F.lit("NULL"))))
+    known = F.when(tag.isin(FEEDS), tag).otherwise(unknown.cast("string"))
+    return _delivered(_facts(spark, sf_dir, until)).select(
+        "event_time", "event_day", "entity", known.alias(USER.source_tag), *columns
     )
 
 
