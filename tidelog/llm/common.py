@@ -16,6 +16,7 @@ from tidelog.session import shared_folder
 cloudpickle.register_pickle_by_value(tidelog.llm)
 
 _ROWS_PER_TASK = 200_000
+_ROWS_AT_A_TIME = 256
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -51,14 +52,14 @@ def clear_scratch(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """Apply a function to every Arrow batch. ``start`` makes it once per task, with what it needs to
-    load."""
+    """Apply a function to every Arrow batch, a few rows at a time, so that what a task holds as Python objects
+    stays small. ``start`` makes the function once per task, with what it needs to load."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
         for batch in batches:
-            if batch.num_rows:
-                yield apply(batch)
+            for start_row in range(0, batch.num_rows, _ROWS_AT_A_TIME):
+                yield apply(batch.slice(start_row, _ROWS_AT_A_TIME))
 
     return df.mapInArrow(run, schema)
 

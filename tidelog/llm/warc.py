@@ -146,6 +146,6 @@ def derivatives(source: DataFrame, key: str = "page_id") -> DataFrame:
 
 def write_warc(records: DataFrame, path: str, compression: str | None = None) -> None:
     """Write records as WARC files, one per task. With ``compression="gzip"`` a file is one gzip member."""
-    record = F.concat("headers", F.lit("\r\n"), "block", F.lit("\r\n\r\n"))
-    writer = records.select(record.alias("value")).write.option("lineSep", "")
+    record = F.concat("headers", F.lit("\r\n"), "block")
+    writer = records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n")
     (writer.option("compression", compression) if compression else writer).text(path)
