@@ -41,7 +41,7 @@ class ChunkTable(dict):
     """Chunk to whatever ``derive`` makes of its ids."""
 
     def __init__(
-        self, model: sentencepiece.SentencePieceProcessor, derive: Callable[[list[int]], object], most: int = 200_000, longest: int = 48
+        self, model: sentencepiece.SentencePieceProcessor, derive: Callable[[list[int]], object], most: int = 60_000, longest: int = 48
     ) -> None:
         super().__init__()
         self.model, self.derive, self.most, self.longest = model, derive, most, longest

@@ -106,7 +106,7 @@ def train(
     usable: Column,
     sample_docs: int = 300,
     longest_doc: int = 65_536,
-    max_contexts: int = 16_384,
+    max_contexts: int = 8_192,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",

@@ -71,7 +71,7 @@ class LicenseScan:
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 64:
+        if len(self) < 250_000 and len(word) < 64:
             self[word] = value
         return value
 

@@ -33,7 +33,7 @@ from tidelog.llm.components import components
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _BLOCK = 2048
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 250_000
 _LEADERS = 4
 _CELLS = 64
 
