@@ -38,7 +38,8 @@ def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     folders.append(shared_folder(spark, "llm"))
     if rows is not None:
         df = df.coalesce(1 + rows // _ROWS_PER_TASK)
-    df.write.parquet(folders[-1])
+    # Without compression: its buffers lie outside the heap and stay until the executor collects garbage.
+    df.write.option("compression", "none").parquet(folders[-1])
     return spark.read.schema(df.schema).parquet(folders[-1])
 
 

@@ -254,6 +254,7 @@ def near_duplicates(
     rows = settled(
         map_batches(texts, _profiles(spec, False), "id bigint, key binary, n bigint, bands array<bigint>")
     )
+    n = rows.count()  # no narrow table below has more rows than a few for each document
     # One row per set. The key is shuffled with one row per task and class at most.
     classes = settled(
         rows.where("n > 0")
@@ -271,11 +272,11 @@ def near_duplicates(
     fits = F.expr(f"100 * least(n_a, n) >= {spec.percent} * greatest(n_a, n)")
     shared = settled(places.join(stars, "band").select("band", "a", "n_a", "cid", "n"))
     pairs = settled(
-        shared.where(F.col("a") != F.col("cid")).where(fits).select("a", F.col("cid").alias("b")).distinct()
+        shared.where(F.col("a") != F.col("cid")).where(fits).select("a", F.col("cid").alias("b")).distinct(), n
     )
 
     # The sets themselves are made anew for the classes that share a band with another.
-    wanted = settled(shared.select("cid").distinct().join(classes.select("cid", "key", "id"), "cid"))
+    wanted = settled(shared.select("cid").distinct().join(classes.select("cid", "key", "id"), "cid"), n)
     ids = wanted.select(F.col("id").alias("wanted_id"))
     again = texts.join(ids, texts.id.eqNullSafe(ids.wanted_id), "left_semi")
     made = map_batches(again, _profiles(spec, True), "id bigint, key binary, n bigint, sig binary, shingles binary, cells array<int>")
@@ -292,17 +293,17 @@ def near_duplicates(
 
     def open_places(links: DataFrame) -> DataFrame:
         """Places on shared band keys that hold several components, with the component so far."""
-        roots = settled(components(links, "a", "b")).withColumnRenamed("node", "cid")
+        roots = settled(components(links, "a", "b"), n).withColumnRenamed("node", "cid")
         known = settled(shared.join(roots, "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root")))
         several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        return settled(known.join(settled(several.select("band")), "band"))
+        return settled(known.join(settled(several.select("band"), n), "band"))
 
     links = confirmed(pairs)
     known = open_places(links)
 
     # Shingles that a class has alone among those still open are in no intersection. The others are counted by
     # cells of their hash: the smaller counts of two classes, summed over cells, bound their intersection.
-    asked = settled(known.select("cid").distinct())
+    asked = settled(known.select("cid").distinct(), n)
     sets = map_batches(
         profiles.join(asked, "cid").select("cid", "shingles"), _exploded, "cid bigint, shingle bigint, cell int"
     )
@@ -317,7 +318,7 @@ def near_duplicates(
     shape = settled(
         profiles.select("cid", "cells")
         .join(asked, "cid")
-        .join(settled(alone), "cid", "left")
+        .join(settled(alone, n), "cid", "left")
         .join(classes.select("cid", "bands"), "cid")
         .select("cid", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), common.alias("cells"))
     )
@@ -343,7 +344,7 @@ def near_duplicates(
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    met = settled(met)
+    met = settled(met, n)
     links = links.union(confirmed(met))
 
     # What is left: the pairs of a band key across components, each on the first band key it shares.
@@ -363,10 +364,11 @@ def near_duplicates(
     members = settled(
         classes.select("key", "id", "cid")
         .join(components(links, "a", "b").withColumnRenamed("node", "cid"), "cid", "left")
-        .select("key", "id", F.coalesce("root", "cid").alias("root"))
+        .select("key", "id", F.coalesce("root", "cid").alias("root")),
+        n,
     )
-    smallest = settled(members.groupBy("root").agg(F.min("id").alias("component")))
-    named = settled(members.join(smallest, "root").select("key", "component"))
+    smallest = settled(members.groupBy("root").agg(F.min("id").alias("component")), n)
+    named = settled(members.join(smallest, "root").select("key", "component"), n)
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return (
         rows.drop("bands")
