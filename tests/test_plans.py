@@ -127,3 +127,8 @@ def test_stored_history_is_pruned_by_day_and_column(spark, tmp_path):
     assert "event_day" in pruned and "<= 2024-01-15" in pruned
     assert "LessThanOrEqual(valid_from,2024-01-15)" in then
     assert "Or(IsNull(valid_to),GreaterThanOrEqual(valid_to,2024-01-15))" in then
+
+
+def test_revenue_as_of_a_day_leaves_later_events_in_the_scan(spark):
+    text = plan(QUERIES["gmv_daily_asof"](spark, SF_DIR), "formatted")
+    assert "LessThan(ts,2024-01-16" in text
