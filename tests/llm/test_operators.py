@@ -143,6 +143,17 @@ def test_secrets_in_layers():
         assert ("assign", 7, 7 + len(wrapped)) in found or any(k == "assign" and 7 <= a < b <= 7 + len(wrapped) for k, a, b in found)
 
 
+def test_repeated_and_address_safe_layers():
+    """A layer is found at every place it stands at, and in the alphabet made for addresses."""
+    plain = 'token = "abcdefghijkl123"'
+    coded = base64.b64encode(plain.encode()).decode()
+    found = secrets(f"{coded} and {coded}")[1]
+    assert found == [("assign", 0, len(coded)), ("assign", len(coded) + 5, 2 * len(coded) + 5)]
+    url = base64.urlsafe_b64encode('~~~>>>???ÿ token = "abcdefghijkl123"'.encode()).decode()
+    assert "-" in url or "_" in url
+    assert secrets(f"x {url} y")[1] == [("assign", 2, 2 + len(url))]
+
+
 def test_base_findings_agree_with_plain_patterns(spark, documents):
     kinds = {
         "assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),

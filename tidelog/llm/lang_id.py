@@ -48,10 +48,10 @@ class ContextTrees:
 
     def bits(self, text: str) -> np.ndarray:
         """Code length of a text in every language."""
-        data = _bytes(text).astype(np.int64)
+        data = _bytes(text)
         total = np.zeros(len(self.langs))
         for start in range(3, len(data), _PIECE):
-            b = data[start - 3 : start + _PIECE]
+            b = data[start - 3 : start + _PIECE].astype(np.int64)
             node = self.deep[self.pairs[b[:-3] << 8 | b[1:-2]] << 8 | b[2:-1]]
             node = np.where(node < 0, self.shallow[b[1:-2] << 8 | b[2:-1]], node)
             total += self.costs.take(node << 8 | b[3:], axis=0).sum(axis=0, dtype=np.float64)

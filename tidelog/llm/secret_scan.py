@@ -3,19 +3,22 @@
 A text is scanned as it is. Then encoded layers are unwrapped and put on a worklist: percent-encoding and
 Unicode or HTML escapes in place, so that a key before the encoded part still stands before it; base64 runs
 and compressed data inside them as layers of their own. Every layer is scanned and unwrapped again until
-none is left. A layer whose content was seen before is not taken up again, so cycles end. Each character
-of a layer knows the part of the original text it came from, so all spans are those of the original.
+none is left. A layer whose content was seen before at the same place is not taken up again, so cycles end, while
+what is repeated is found at each of its places. Each character of a layer knows the part of the original text
+it came from, so all spans are those of the original.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import gzip
 import hashlib
 import html
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
@@ -38,7 +41,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,8};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
+_BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 _WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+")
 LONGEST_LAYER = 1 << 26
 
@@ -48,8 +52,12 @@ class Layer:
     """Decoded text; character i comes from ``[starts[i], ends[i])`` of the original. None: from itself."""
 
     text: str
-    starts: list[int] | None = None
-    ends: list[int] | None = None
+    starts: array | None = None
+    ends: array | None = None
+
+    @property
+    def place(self) -> tuple[int, int]:
+        return self.span(0, len(self.text)) if self.text else (0, 0)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -69,9 +77,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _repeated(position: int, times: int) -> array:
+    return array("q", [position]) * times
+
+
 def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match decoded, if one decodes to something else."""
-    out, starts, ends, at, changed = [], [], [], 0, False
+    out, starts, ends, at, changed = [], array("q"), array("q"), 0, False
 
     def keep(a: int, b: int) -> None:
         out.append(layer.text[a:b])
@@ -86,8 +98,8 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         keep(at, m.start())
         a, b = layer.span(*m.span())
         out.append(new)
-        starts.extend([a] * len(new))
-        ends.extend([b] * len(new))
+        starts.extend(_repeated(a, len(new)))
+        ends.extend(_repeated(b, len(new)))
         at = m.end()
     if not changed:
         return None
@@ -157,17 +169,34 @@ def _unpacked(run: str) -> str | None:
     return text if text and all(c.isprintable() or c.isspace() for c in text) else None
 
 
+def _base64_runs(text: str):
+    """Start, end and contents of base64 runs, first of those with signs of the alphabet for addresses. A part
+    of such a run is no run of its own."""
+    taken = []
+    if "-" in text or "_" in text:
+        for m in _BASE64_URL.finditer(text):
+            if ("-" in m[0] or "_" in m[0]) and (new := _unpacked(m[0])) is not None:
+                taken.append(m.span())
+                yield *m.span(), new
+    for m in _BASE64.finditer(text):
+        if _WORD.fullmatch(m[0]):  # a word in one case, or capitalised
+            continue
+        before = bisect.bisect_right(taken, m.start(), key=lambda span: span[0])
+        if before and m.end() <= taken[before - 1][1]:
+            continue
+        if (new := _unpacked(m[0])) is not None:
+            yield *m.span(), new
+
+
 def _unwrap(layer: Layer):
     text = layer.text
     if "%" in text and (new := _in_place(layer, _PERCENT, _percent)):
         yield new
     if ("\\" in text or "&" in text) and (new := _in_place(layer, _ESCAPE, _escape)):
         yield new
-    for m in _BASE64.finditer(text):
-        if _WORD.fullmatch(m[0]) or (new := _unpacked(m[0])) is None:  # a word in one case, or capitalised
-            continue
-        a, b = layer.span(*m.span())
-        yield Layer(new, [a] * len(new), [b] * len(new))
+    for start, end, new in _base64_runs(text):
+        a, b = layer.span(start, end)
+        yield Layer(new, _repeated(a, len(new)), _repeated(b, len(new)))
 
 
 def _sorted(found: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -177,12 +206,14 @@ def _sorted(found: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Findings in the text itself, and all findings with those of decoded layers."""
     base = scan(text or "")
-    found, seen, work = set(base), {text}, [Layer(text or "")]
+    first = Layer(text or "")
+    found, seen, work = set(base), {(first.text, first.place)}, [first]
     while work:
         for layer in _unwrap(work.pop()):
-            if layer.text in seen:
+            known = layer.text, layer.place
+            if known in seen:
                 continue
-            seen.add(layer.text)
+            seen.add(known)
             found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
             work.append(layer)
     return _sorted(set(base)), _sorted(found)
