@@ -177,6 +177,17 @@ def test_existing_sql_runs_on_the_registered_history(spark, history):
     assert {tuple(row) for row in rows} == {tuple(row) for row in same}
 
 
+def test_colliding_contents_are_two_events(spark):
+    """NULL and its text print alike; both ways of finding re-sends take the contents apart."""
+    rows = [(dt.datetime(2024, 1, 1), dt.date(2024, 1, 1), 1, "purchase_extra_info", text) for text in (None, "<null>", None)]
+    names = [*PURCHASE.key_columns, "subsidiary"]
+    events = spark.createDataFrame(rows, "a timestamp_ntz, b date, c bigint, d string, e string").toDF(*names)
+    missing = {c: k for s in PURCHASE.sources for c, k in s.schema.items() if c in s.owned and c != "subsidiary"}
+    events = events.select("*", *[F.lit(None).cast(k).alias(c) for c, k in missing.items()]).select(*PURCHASE.columns)
+    counts = stage_counts(with_fingerprint(events, PURCHASE), PURCHASE).first()
+    assert (counts.stacked, counts.deduplicated, drop_resent(events).count()) == (3, 2, 2)
+
+
 def test_missing_segment_as_null_group(history):
     rows = {tuple(row) for row in gmv_null_group(history, PURCHASE, GMV).collect()}
     assert (dt.date(2023, 4, 18), None, Decimal("640.00")) in rows

@@ -17,16 +17,14 @@ def source_day_counts(events: DataFrame, spec: EntitySpec) -> DataFrame:
 
 
 def stage_counts(events: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Rows after each stage for fingerprinted ``events``, in one pass.
+    """Rows after each stage, in one pass. Re-sends are events alike in all columns, as in ``drop_resent``.
 
     Every stage is a coarser grouping of the one before, so each level counts the groups below it
     and nothing is computed twice. Once events are down to key, feed and day, one shuffle by key
     serves the rest.
     """
     day = [spec.key, spec.event_day]
-    contents = events.groupBy(*day, spec.source_tag, spec.fingerprint).agg(
-        F.count(F.lit(1)).alias("stacked")
-    )
+    contents = events.groupBy(*spec.columns).agg(F.count(F.lit(1)).alias("stacked"))
     feed_days = contents.groupBy(*day, spec.source_tag).agg(
         F.sum("stacked").alias("stacked"), F.count(F.lit(1)).alias("deduplicated")
     )

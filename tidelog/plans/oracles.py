@@ -7,7 +7,7 @@ with windows, none of which the Spark plans for the history do.
 from __future__ import annotations
 
 from tidelog.functions.fingerprint import NULL_TEXT, SEPARATOR
-from tidelog.plans.queries import AS_OF, FULFILLED, RANKED_YEAR
+from tidelog.plans.queries import AS_OF, FULFILLED, RANKED_YEAR, SILENT
 from tidelog.plans.tables import USER, USER_GMV
 
 _OWNED = ", ".join(USER.owned_columns)
@@ -96,8 +96,8 @@ def _on_log(query: str) -> str:
     return f"WITH {_events()}\n{query}"
 
 
-def _on_history(query: str) -> str:
-    return f"WITH {_events()},{_STATES}\n{query}"
+def _on_history(query: str, where: str = "TRUE") -> str:
+    return f"WITH {_events(where)},{_STATES}\n{query}"
 
 
 _IN_FORCE = f"DATE '{AS_OF}' BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31')"
@@ -148,11 +148,14 @@ FROM latest JOIN spoken USING (entity, event_day)"""
     ),
     "daily_state": _on_history("SELECT * FROM daily"),
     "daily_state_of_events": _on_history("SELECT * FROM daily"),
+    "daily_state_step_by_step": _on_history("SELECT * FROM daily"),
     "scd2_history": _HISTORY,
     "history_as_of": _on_history(f"SELECT * FROM history WHERE {_IN_FORCE}"),
     "gmv_daily_current": _gmv("is_current", _NAMED),
     "gmv_daily_asof": _gmv(_IN_FORCE, _NAMED),
     "gmv_daily_null_group": _gmv("is_current", "segment"),
+    "gmv_current_stored": _gmv("is_current", _NAMED),
+    "gmv_asof_stored": _gmv(_IN_FORCE, _NAMED),
     "stage_counts": _on_history(
         """SELECT (SELECT count(*) FROM log) AS stacked,
        (SELECT count(*) FROM deduplicated) AS deduplicated,
@@ -191,6 +194,7 @@ SELECT producer_id, product_id, faturamento,
 FROM revenue
 QUALIFY rank <= 2""",
     "layer_roundtrip": _HISTORY,
+    "layer_roundtrip_missing_feed": _on_history("SELECT * FROM history", f"event_type <> '{SILENT}'"),
     "partition_refresh": _HISTORY,
     "check_one_current": _on_history(
         """SELECT count(*) AS violations

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.validity import valid_on
 from tidelog.operators.checks import check_intervals, check_one_current
 from tidelog.operators.counts import source_day_counts, stage_counts
+from tidelog.operators.history import as_of
 from tidelog.operators.rankings import REVENUE, top_producers, top_products
 from tidelog.operators.revenue import REVENUE as GMV_VALUE
-from tidelog.operators.revenue import gmv_null_group
+from tidelog.operators.revenue import gmv_as_of, gmv_current, gmv_null_group
 from tidelog.operators.state import (
     block_forward_fill,
+    collapse_days,
     daily_state,
     daily_state_of_events,
     with_day_sources,
@@ -47,6 +48,7 @@ AS_OF = dt.date(2024, 1, 15)
 REFRESHED = dt.date(2024, 1, 15)
 EMPTIED = dt.date(1900, 1, 1)
 RANKED_YEAR = 1997
+SILENT = "signup"
 FULFILLED = "F"
 MONEY = "decimal(28,2)"
 
@@ -72,11 +74,11 @@ def _history(spark: SparkSession, sf_dir: str, until: dt.date | None = None) ->
     return history_of(change_log(spark, sf_dir, until), USER)
 
 
-def _deliver_raw(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Drop the feeds as CSV with a header, one folder each, as their origin would."""
+def _deliver_raw(spark: SparkSession, sf_dir: str, folder: str, silent: str | None = None) -> None:
+    """Drop the feeds as CSV with a header, one folder each, as their origin would; a ``silent`` feed has no rows."""
 
     def drop(name: str, feed: DataFrame) -> None:
-        feed.write.option("header", True).csv(f"{folder}/{name}")
+        (feed if name != silent else feed.limit(0)).write.option("header", True).csv(f"{folder}/{name}")
 
     start_together(drop, change_feeds(spark, sf_dir))
 
@@ -123,6 +125,11 @@ def daily_from_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(daily_state(_timeline(spark, sf_dir), USER))
 
 
+def daily_step_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last filled event of a day, with the sources of the day."""
+    return _flat(collapse_days(forward_filled(spark, sf_dir), USER))
+
+
 def daily_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(daily_state_of_events(_hashed(spark, sf_dir), USER))
 
@@ -146,6 +153,22 @@ def gmv_daily_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(gmv_null_group(_history(spark, sf_dir), USER, USER_GMV), GMV_VALUE)
 
 
+def _stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a table by day, read back."""
+    path, history = shared_folder(spark, USER.history_table), _history(spark, sf_dir)
+    write_days(history, path, USER.event_day)
+    return read_table(spark, path, history.schema, USER.event_day)
+
+
+def gmv_current_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money(gmv_current(_stored_history(spark, sf_dir), USER, USER_GMV), GMV_VALUE)
+
+
+def gmv_asof_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads only the days up to the one asked for."""
+    return _money(gmv_as_of(_stored_history(spark, sf_dir), USER, USER_GMV, AS_OF), GMV_VALUE)
+
+
 def counts_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_counts(_hashed(spark, sf_dir), USER)
 
@@ -172,6 +195,13 @@ def layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(run_layers(spark, base, USER).history)
 
 
+def layer_roundtrip_missing_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same before one feed has delivered anything: its file has a header only."""
+    base = shared_folder(spark, "layer_roundtrip_missing_feed")
+    _deliver_raw(spark, sf_dir, Layers(base, USER).raw, silent=SILENT)
+    return _flat(run_layers(spark, base, USER).history)
+
+
 def partition_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store a history with one day gone wrong and one that should be empty, then replace these two from a
     second stored table."""
@@ -189,7 +219,7 @@ def partition_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_history(spark, sf_dir).filter(valid_on(USER, AS_OF)))
+    return _flat(as_of(_history(spark, sf_dir), USER, AS_OF))
 
 
 def one_current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,16 +247,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_sources": daily_sources,
     "daily_state": daily_from_timeline,
     "daily_state_of_events": daily_from_events,
+    "daily_state_step_by_step": daily_step_by_step,
     "scd2_history": scd2_history,
     "history_as_of": history_on_day,
     "gmv_daily_current": gmv_daily_current,
     "gmv_daily_asof": gmv_daily_asof,
     "gmv_daily_null_group": gmv_daily_null_group,
+    "gmv_current_stored": gmv_current_stored,
+    "gmv_asof_stored": gmv_asof_stored,
     "stage_counts": counts_by_stage,
     "top50_producers_year": top50_producers_year,
     "top50_producers_by_order": top50_producers_by_order,
     "top2_products_per_producer": top2_products_per_producer,
     "layer_roundtrip": layer_roundtrip,
+    "layer_roundtrip_missing_feed": layer_roundtrip_missing_feed,
     "partition_refresh": partition_refresh,
     "check_one_current": one_current,
     "check_intervals": intervals,

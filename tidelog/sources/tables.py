@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ROWS = "rows"
+_MOST_TOGETHER = 8
 T = TypeVar("T")
 
 
@@ -19,9 +21,13 @@ def start_together(
     write: Callable[[str, DataFrame], T], frames: dict[str, DataFrame]
 ) -> dict[str, T]:
     """Run one write per frame at the same time. They are independent jobs, and the long tail of one
-    should leave no executor idle. The first error is raised once all have ended."""
-    with ThreadPoolExecutor(len(frames)) as pool:
-        return dict(zip(frames, pool.map(write, frames.keys(), frames.values()), strict=True))
+    should leave no executor idle. They belong to the caller's job group and scheduler pool. The first error
+    is raised once all have ended."""
+    if not frames:
+        return {}
+    start = inheritable_thread_target(next(iter(frames.values())).sparkSession)(write)
+    with ThreadPoolExecutor(min(_MOST_TOGETHER, len(frames))) as pool:
+        return dict(zip(frames, pool.map(start, frames.keys(), frames.values()), strict=True))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, day: str) -> DataFrame:
