@@ -21,7 +21,7 @@ from tidelog.llm import order_minhash
 from tidelog.llm.common import clear_scratch, settled
 from tidelog.llm.decontam import contaminated
 from tidelog.llm.lang_id import identify
-from tidelog.llm.license_scan import license_spans
+from tidelog.llm.license_scan import TEMPLATES, license_spans
 from tidelog.llm.near_dups import NearDups, near_duplicates
 from tidelog.llm.oracles import ORACLES
 from tidelog.llm.piece_codec import digests, encode
@@ -212,6 +212,19 @@ def test_licenses(spark):
     assert {k for i, k in found if i == 1} >= {"Apache-2.0"} and not [i for i, _ in found if i == 2]
 
 
+def test_licenses_that_follow_each_other(spark):
+    """Every one of many notices in a row is a place of its own, without words of its neighbours."""
+    line, other = "Released under the MIT License.", "Released under the MIT Licence."
+    texts = ["\n".join([line] * 50), f"{line} {other} {line} x {line}", " ".join([TEMPLATES["MPL-2.0-header"]] * 7)]
+    got = license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    places = lambda i, name: sorted((r.start, r.end) for r in got if (r.doc_id, r.license) == (i, name))
+    step = len(line) + 1
+    assert places(0, "MIT") == [(i * step, i * step + len(line) - 1) for i in range(50)]
+    assert [texts[1][a:b] for a, b in places(1, "MIT")] == [line[:-1], other[:-9], line[:-1], line[:-1]]
+    step = len(TEMPLATES["MPL-2.0-header"])
+    assert [(a, b) for a, b in places(2, "MPL-2.0-header")] == [(i * (step + 1), i * (step + 1) + step - 2) for i in range(7)]
+
+
 def test_warc_records(spark, tmp_path):
     rows = [(1, "http://a/b", '<html lang="EN"><title>T &amp; U</title><p>One<b>two</b><script>x</script><p>é'), (None, None, None), (2, "u", "")]
     made = derivatives(responses(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")))

@@ -2,14 +2,16 @@
 
 Templates and texts are word sequences. Hashes of ``k`` words in a row are winnowed: of every ``w`` in a row
 the smallest is kept, so a run of ``k + w - 1`` common words always shares a fingerprint. Fingerprints of the
-templates form an inverted index. Hits of a text that lie close to one diagonal are a candidate place; there
-the template is aligned with the text within a band of ``band`` words around the diagonals hit, and words
-matched in the best alignment give coverage and span. The index is small and the same in all tasks, so
+templates form an inverted index. Hits of a text on diagonals at most ``band`` words apart are a candidate place;
+there the template is aligned with the text within a band of ``band`` words around the diagonals hit, and words
+matched in the best alignment give coverage and span. Hits before and after it are aligned again among
+themselves, so notices that follow each other are all found. The index is small and the same in all tasks, so
 texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -97,7 +99,8 @@ def fingerprints(words: list[str], spec: LicenseScan, hashes: dict) -> tuple[np.
 def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
     """The most template words matched in order, with the first and last (exclusive) word of the text that
     matches. Template word i may match text words i + low to i + high; among equals the shortest span."""
-    # State of a band cell: (matched, minus start); ends are read off the best cell.
+    # State of a band cell: (matched, start), so that of equal matches the latest start goes on; ends are read off
+    # the best cell.
     width = high - low + 1
     row, best = [(0, 0)] * width, (0, 0, 0, 0)
     for i, word in enumerate(template):
@@ -109,14 +112,44 @@ def align(template: list[str], words: list[str], low: int, high: int) -> tuple[i
             cell = max(up, left)
             if 0 <= j < len(words) and words[j] == word:
                 matched, start = row[d]
-                step = (matched + 1, start if matched else -j)
+                step = (matched + 1, start if matched else j)
                 if step > cell:
                     cell = step
-                    best = max(best, (cell[0], -(j + 1 + cell[1]), -j, cell[1]))
+                    best = max(best, (cell[0], cell[1] - j - 1, -j, cell[1]))
             new.append(cell)
         row = new
-    matched, _, minus_end, minus_start = best
-    return (matched, -minus_start, 1 - minus_end) if matched else (0, 0, 0)
+    matched, _, minus_end, start = best
+    return (matched, start, 1 - minus_end) if matched else (0, 0, 0)
+
+
+def occurrences(template: list[str], words: list[str], hits: list[tuple[int, int]], spec: LicenseScan) -> list[tuple[int, int, int]]:
+    """``(matched, first, last)`` of the places around hits ``(diagonal, position)``, sorted and close together:
+    the best alignment, and those of the hits wholly before and wholly after it."""
+    found, work = [], [(0, len(words), hits)]
+    while work:
+        first, last, hits = work.pop()
+        low, high = hits[0][0] - spec.band, hits[-1][0] + spec.band
+        start = max(first, low)
+        matched, a, b = align(template, words[start : min(last, high + len(template))], low - start, high - start)
+        if matched < spec.coverage * len(template):
+            continue
+        a, b = a + start, b + start
+        found.append((matched, a, b))
+        if before := [h for h in hits if h[1] + spec.k <= a]:
+            work.append((first, a, before))
+        if after := [h for h in hits if h[1] >= b]:
+            work.append((b, last, after))
+    return found
+
+
+def best_apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Places by position, without those that overlap one with more words matched, or as many and further left."""
+    taken: list[tuple[int, int, int]] = []
+    for matched, a, b in sorted(set(places), key=lambda p: (-p[0], p[1], p[2])):
+        at = bisect.bisect_left(taken, (a,))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b, matched))
+    return [(matched, a, b) for a, b, matched in taken]
 
 
 def license_spans(
@@ -129,8 +162,8 @@ def license_spans(
     """``(id, license, coverage, matched, start, end)``: a row for every place where at least
     ``spec.coverage`` of a template's words are matched, in code points, end exclusive. The id keeps its name.
 
-    Of places of one template that overlap the best is reported. NULL and empty texts, and texts without a
-    license, give no row. A repeated row gives its rows again; a NULL id is passed on. Templates with fewer than
+    Of places of one template that overlap the best is reported; places that do not are all reported. NULL and
+    empty texts, and texts without a license, give no row. A repeated row gives its rows again; a NULL id is passed on. Templates with fewer than
     ``k`` words are refused. Other columns are not read.
     """
     spelled = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
@@ -158,31 +191,18 @@ def license_spans(
                 words = [text[a:b].lower() for a, b in spans]
                 found, at = fingerprints(words, spec, hashes)
                 hit = np.isin(found, known, kind="sort") if len(found) else np.empty(0, bool)
-            diagonals = defaultdict(list)
+            hits = defaultdict(list)
             for h, j in zip(found[hit].tolist(), at[hit].tolist(), strict=True):
                 for name, i in index[h]:
-                    diagonals[name].append(j - i)
-            for name, hits in diagonals.items():
+                    hits[name].append((j - i, j))
+            for name, of_template in hits.items():
                 template, chosen, group = spelled[name], [], []
-                for d in [*sorted(hits), None]:
-                    if group and (d is None or d - group[-1] > spec.band):
-                        shift = group[0] - spec.band
-                        cut = words[max(0, shift) : group[-1] + spec.band + len(template)]
-                        move = max(0, shift)
-                        matched, a, b = align(template, cut, shift - move, group[-1] + spec.band - move)
-                        if matched >= spec.coverage * len(template):
-                            chosen.append((matched, a + move, b + move))
+                for one in [*sorted(of_template), None]:
+                    if group and (one is None or one[0] - group[0][0] > spec.band):
+                        chosen += occurrences(template, words, group, spec)
                         group = []
-                    group.append(d)
-                end = -1
-                best = []
-                for place in sorted(chosen, key=lambda p: p[1]):
-                    if place[1] >= end:
-                        best.append(place)
-                    elif place[0] > best[-1][0]:
-                        best[-1] = place
-                    end = best[-1][2]
-                for matched, a, b in best:
+                    group.append(one)
+                for matched, a, b in best_apart(chosen):
                     yield name, matched / len(template), matched, spans[a][0], spans[b - 1][1]
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
