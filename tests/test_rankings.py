@@ -4,7 +4,7 @@ import golden
 import pytest
 
 from tidelog.operators.rankings import APPROVED, top_producers, top_products
-from tidelog.plans.sql import register, top_producers_sql
+from tidelog.plans.sql import register, top_producers_sql, top_products_sql
 
 PURCHASE_TYPES = {
     "purchase_id": "BIGINT",
@@ -61,10 +61,12 @@ def test_limit_and_last_moment_of_the_year(purchases):
     assert str(rows[0].faturamento) == "95.50"
 
 
-def test_top_products_join_on_both_keys(purchases, items):
+def test_top_products_join_on_both_keys(spark, purchases, items):
     expected = [tuple(row.values()) for row in golden.table("Top-2 products per producer")]
     columns = ["producer_id", "product_id", "faturamento", "rank"]
-    assert golden.printed(top_products(purchases, items).collect(), columns) == expected
+    views = register(purchases, "df_purchase"), register(items, "df_product_item")
+    for result in (top_products(purchases, items), top_products_sql(spark, *views, 2, APPROVED)):
+        assert golden.printed(result.collect(), columns) == expected
 
 
 def test_counting_purchases_first_equals_summing_all_pairs(spark, purchases, items):

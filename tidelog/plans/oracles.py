@@ -129,6 +129,21 @@ def _past_frozen() -> str:
        AS BIGINT) AS violations"""
 
 
+_TOP2_PRODUCTS = f"""
+WITH revenue AS (
+    SELECT o_custkey AS producer_id, l_partkey AS product_id,
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS faturamento
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE o_orderstatus = '{FULFILLED}'
+    GROUP BY 1, 2
+)
+SELECT producer_id, product_id, faturamento,
+       CAST(row_number() OVER (PARTITION BY producer_id
+                               ORDER BY faturamento DESC, product_id) AS INTEGER) AS rank
+FROM revenue
+QUALIFY rank <= 2"""
+
+
 ORACLES: dict[str, str] = {
     "csv_typed_scan": _on_log("SELECT * FROM log"),
     "cdc_typed_events": _on_log("SELECT * FROM log"),
@@ -154,6 +169,7 @@ FROM latest JOIN spoken USING (entity, event_day)"""
     "gmv_daily_current": _gmv("is_current", _NAMED),
     "gmv_daily_asof": _gmv(_IN_FORCE, _NAMED),
     "gmv_daily_null_group": _gmv("is_current", "segment"),
+    "gmv_daily_null_group_sql": _gmv("is_current", "segment"),
     "gmv_current_stored": _gmv("is_current", _NAMED),
     "gmv_asof_stored": _gmv(_IN_FORCE, _NAMED),
     "stage_counts": _on_history(
@@ -180,19 +196,8 @@ WHERE year(o_orderdate) = {RANKED_YEAR} AND o_orderstatus = '{FULFILLED}'
 GROUP BY 1, 2
 ORDER BY faturamento DESC, producer_id
 LIMIT 50""",
-    "top2_products_per_producer": f"""
-WITH revenue AS (
-    SELECT o_custkey AS producer_id, l_partkey AS product_id,
-           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS faturamento
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-    WHERE o_orderstatus = '{FULFILLED}'
-    GROUP BY 1, 2
-)
-SELECT producer_id, product_id, faturamento,
-       CAST(row_number() OVER (PARTITION BY producer_id
-                               ORDER BY faturamento DESC, product_id) AS INTEGER) AS rank
-FROM revenue
-QUALIFY rank <= 2""",
+    "top2_products_per_producer": _TOP2_PRODUCTS,
+    "top2_products_in_sql": _TOP2_PRODUCTS,
     "layer_roundtrip": _HISTORY,
     "layer_roundtrip_missing_feed": _on_history("SELECT * FROM history", f"event_type <> '{SILENT}'"),
     "partition_refresh": _HISTORY,

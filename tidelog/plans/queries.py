@@ -30,7 +30,14 @@ from tidelog.operators.timeline import (
 )
 from tidelog.plans.history import check_past_frozen, history_of
 from tidelog.plans.layers import Layers, run_layers
-from tidelog.plans.sql import gmv_as_of_sql, gmv_current_sql, register, top_producers_sql
+from tidelog.plans.sql import (
+    gmv_as_of_sql,
+    gmv_current_sql,
+    gmv_null_group_sql,
+    register,
+    top_producers_sql,
+    top_products_sql,
+)
 from tidelog.plans.tables import (
     USER,
     USER_GMV,
@@ -153,6 +160,11 @@ def gmv_daily_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(gmv_null_group(_history(spark, sf_dir), USER, USER_GMV), GMV_VALUE)
 
 
+def gmv_daily_null_group_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = register(_history(spark, sf_dir), "user_history")
+    return _money(gmv_null_group_sql(spark, view, USER, USER_GMV), GMV_VALUE)
+
+
 def _stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as a table by day, read back."""
     path, history = shared_folder(spark, USER.history_table), _history(spark, sf_dir)
@@ -188,6 +200,12 @@ def top2_products_per_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(top_products(purchases, lines_as_items(spark, sf_dir), 2, FULFILLED), REVENUE)
 
 
+def top2_products_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    purchases = register(orders_as_purchases(spark, sf_dir), "order_purchases")
+    items = register(lines_as_items(spark, sf_dir), "line_items")
+    return _money(top_products_sql(spark, purchases, items, 2, FULFILLED), REVENUE)
+
+
 def layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files through every layer, then the stored history."""
     base = shared_folder(spark, "layer_roundtrip")
@@ -253,12 +271,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gmv_daily_current": gmv_daily_current,
     "gmv_daily_asof": gmv_daily_asof,
     "gmv_daily_null_group": gmv_daily_null_group,
+    "gmv_daily_null_group_sql": gmv_daily_null_group_sql,
     "gmv_current_stored": gmv_current_stored,
     "gmv_asof_stored": gmv_asof_stored,
     "stage_counts": counts_by_stage,
     "top50_producers_year": top50_producers_year,
     "top50_producers_by_order": top50_producers_by_order,
     "top2_products_per_producer": top2_products_per_producer,
+    "top2_products_in_sql": top2_products_in_sql,
     "layer_roundtrip": layer_roundtrip,
     "layer_roundtrip_missing_feed": layer_roundtrip_missing_feed,
     "partition_refresh": partition_refresh,

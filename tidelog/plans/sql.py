@@ -13,7 +13,7 @@ from tidelog.config import EntitySpec, MetricSpec
 
 _GMV = """
 SELECT IDENTIFIER(:paid_day)                           AS dia,
-       coalesce(IDENTIFIER(:segment), :missing)        AS subsidiaria,
+       {segment}        AS subsidiaria,
        sum(IDENTIFIER(:amount))                        AS gmv
 FROM IDENTIFIER(:history)
 WHERE IDENTIFIER(:paid_day) IS NOT NULL
@@ -22,12 +22,17 @@ GROUP BY 1, 2
 ORDER BY 1, 2
 """
 
-GMV_CURRENT = _GMV.format(in_force="IDENTIFIER(:is_current)")
+_NAMED_SEGMENT = "coalesce(IDENTIFIER(:segment), :missing)"
+
+GMV_CURRENT = _GMV.format(segment=_NAMED_SEGMENT, in_force="IDENTIFIER(:is_current)")
+
+GMV_NULL_GROUP = _GMV.format(segment="IDENTIFIER(:segment)", in_force="IDENTIFIER(:is_current)")
 
 GMV_AS_OF = _GMV.format(
+    segment=_NAMED_SEGMENT,
     in_force="""IDENTIFIER(:event_day) <= :day
   AND IDENTIFIER(:valid_from) <= :day
-  AND (IDENTIFIER(:valid_to) IS NULL OR IDENTIFIER(:valid_to) >= :day)"""
+  AND (IDENTIFIER(:valid_to) IS NULL OR IDENTIFIER(:valid_to) >= :day)""",
 )
 
 TOP_PRODUCERS = """
@@ -43,6 +48,31 @@ ORDER BY faturamento DESC, producer_id
 LIMIT :n
 """
 
+# Purchases and items are summed before the join, as in the DataFrame form.
+TOP_PRODUCTS = """
+WITH bought AS (
+    SELECT prod_item_id, prod_item_partition, producer_id, count(*) AS times
+    FROM IDENTIFIER(:purchases)
+    WHERE purchase_status = :status
+    GROUP BY ALL
+),
+worth AS (
+    SELECT prod_item_id, prod_item_partition, product_id, sum(purchase_value) AS value
+    FROM IDENTIFIER(:items)
+    GROUP BY ALL
+),
+revenue AS (
+    SELECT producer_id, product_id, round(sum(value * times), 2) AS faturamento
+    FROM bought JOIN worth USING (prod_item_id, prod_item_partition)
+    GROUP BY ALL
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY producer_id ORDER BY faturamento DESC, product_id) AS rank
+    FROM revenue
+)
+SELECT * FROM ranked WHERE rank <= :n ORDER BY producer_id, rank
+"""
+
 
 def register(frame: DataFrame, view: str) -> str:
     frame.createOrReplaceTempView(view)
@@ -65,6 +95,13 @@ def gmv_current_sql(
     return spark.sql(GMV_CURRENT, {**_names(history, metric), "is_current": spec.is_current})
 
 
+def gmv_null_group_sql(
+    spark: SparkSession, history: str, spec: EntitySpec, metric: MetricSpec
+) -> DataFrame:
+    """Amounts without a segment stay a group of their own, named NULL."""
+    return spark.sql(GMV_NULL_GROUP, {**_names(history, metric), "is_current": spec.is_current})
+
+
 def gmv_as_of_sql(
     spark: SparkSession, history: str, spec: EntitySpec, metric: MetricSpec, day: dt.date
 ) -> DataFrame:
@@ -83,3 +120,11 @@ def top_producers_sql(
     return spark.sql(
         TOP_PRODUCERS, {"purchases": purchases, "year": year, "n": n, "status": status}
     )
+
+
+def top_products_sql(
+    spark: SparkSession, purchases: str, items: str, n: int, status: str
+) -> DataFrame:
+    return spark.sql(
+        TOP_PRODUCTS, {"purchases": purchases, "items": items, "n": n, "status": status}
+    )
