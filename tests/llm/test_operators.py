@@ -184,6 +184,26 @@ def test_every_verbatim_passage_is_found(spark, documents):
     assert expected and expected <= got
 
 
+def test_edited_passages_agree_with_brute_force(spark):
+    """Passages with words replaced at the ends are found as long as their similarity is 0.8, however far
+    their fingerprints are apart."""
+    items = [[f"w{i}x{j}" for j in range(15 + i % 45)] for i in range(120)]
+    texts, expected = [], set()
+    for i, words in enumerate(items):
+        for out in range(1, 5):
+            for at in (0, out):
+                n = len(words)
+                edited = [f"e{i}x{j}" if j < at or j >= n - out + at else w for j, w in enumerate(words)]
+                texts.append((len(texts), " ".join(["before", *edited, "after"])))
+                a, b = (Counter(zip(*[x[j:] for j in range(5)], strict=False)) for x in (edited, words))
+                if (a & b).total() * 100 >= 80 * (a | b).total():
+                    expected.add((len(texts) - 1, i))
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    rows = contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id BIGINT, text STRING")).collect()
+    assert len(expected) > 400 and {(r.doc_id, r.item_id) for r in rows} == expected
+    assert max(r.hamming for r in rows) > 11
+
+
 def test_edited_texts(spark, documents):
     rows = sorted(texts_of(documents), reverse=True)
     after = dict(zip([r[0] for r in rows], rows[1:] + rows[:1], strict=True))

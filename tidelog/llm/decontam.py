@@ -2,11 +2,11 @@
 
 Every benchmark item has a SimHash of its words (64 bits, a word counts as often as it occurs). A text's
 windows have the length of an item and lie where an item's shingle occurs at the same offset; a window
-without any shingle of an item has similarity 0 with it, so its fingerprint is never needed, and texts
-without such a shingle are left in the scan. Windows and items are joined by blocks of fingerprint bits:
-with ``radius + 1`` blocks, two fingerprints that differ in at most ``radius`` bits agree in one of them, so
-none within the radius is missed. Candidates within it are confirmed by exact similarity of shingles
-weighted by how often they occur: the sum of smaller counts over the sum of larger ones.
+without any shingle of an item has similarity 0 with it, so it is never needed, and texts without such a
+shingle are left in the scan. A window is compared with every item of its length that shares a shingle with
+it, by exact similarity of shingles weighted by how often they occur: the sum of smaller counts over the sum
+of larger ones. The distance of the fingerprints is reported but decides nothing, as no small distance holds for all
+windows of a similarity.
 
 The benchmark is the query set. Its shingles go to the scan as literals, ``per_pass`` at most at a time;
 a larger benchmark takes more passes. Texts are not shuffled, only windows are.
@@ -27,7 +27,6 @@ from tidelog.llm.common import settled
 class Decontam:
     words: int = 5
     percent: int = 80
-    radius: int = 11
     per_pass: int = 20_000
 
 
@@ -59,16 +58,6 @@ def _simhash(words: str) -> Column:
     )
 
 
-def _blocks(fingerprint: str, radius: int) -> Column:
-    """Number and bits of each block; block widths differ by one at most."""
-    n, edges = radius + 1, [64 * i // (radius + 1) for i in range(radius + 2)]
-    block = lambda i: F.struct(
-        F.lit(i).alias("block"),
-        F.shiftrightunsigned(fingerprint, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("bits"),
-    )
-    return F.array(*[block(i) for i in range(n)])
-
-
 def _similarity(a: str, b: str) -> Column:
     times = lambda array, s: F.size(F.filter(array, lambda x: x == s))
     total = lambda pick: F.aggregate(
@@ -126,22 +115,20 @@ def contaminated(
         )
 
     found = reduce(DataFrame.union, [windows(part) for part in passes])
-    prints = settled(found.select("id", "start", "w", "length", _simhash("w").alias("hash")))
-    blocks = lambda df, name: df.withColumn("b", F.explode(_blocks(name, spec.radius)))
-    hamming = F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash")))
-    candidates = (
-        blocks(prints.select("start", "w", "length", "hash", "id"), "hash")
-        .join(blocks(items.select("item", "length", "item_hash"), "item_hash"), ["b", "length"])
-        .select("id", "start", "w", "item", hamming.alias("hamming"))
-        .where(F.col("hamming") <= spec.radius)
+    prints = found.select("id", "start", "w", "length", _simhash("w").alias("hash"), _shingles("w", k).alias("s"))
+    prints = settled(prints.withColumn("window", F.monotonically_increasing_id()))
+    # The shingles are numbers, so pairs are found without the windows' words.
+    shared = (
+        prints.select("window", "length", F.explode(F.array_distinct("s")).alias("shingle"))
+        .join(places.select("shingle", "length", "item").distinct(), ["shingle", "length"])
+        .select("window", "item")
         .distinct()
     )
-    similar = (
-        candidates.select("id", "start", "w", "item", "hamming", _shingles("w", k).alias("s"))
-        .join(items.select("item", "item_shingles"), "item")
-        .select("id", "item", "start", F.size("w").alias("n_words"), "hamming", _similarity("s", "item_shingles").alias("similarity"))
-        .where(F.col("similarity") * 100 >= spec.percent)
-    )
+    hamming = F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash")))
+    candidates = prints.join(shared, "window").join(items.select("item", "item_shingles", "item_hash"), "item")
+    similar = candidates.select(
+        "id", "item", "start", F.size("w").alias("n_words"), hamming.alias("hamming"), _similarity("s", "item_shingles").alias("similarity")
+    ).where(F.col("similarity") * 100 >= spec.percent)
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return (
         similar.groupBy("id", "item")
