@@ -204,6 +204,18 @@ def test_edited_passages_agree_with_brute_force(spark):
     assert max(r.hamming for r in rows) > 11
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of fewer words than a shingle, and of characters without spaces, are found where they are quoted."""
+    items = ["What is the capital?", "Paris", "中国的首都是哪里", "東京です", "เมืองหลวงคือที่ไหน", "one two three four five six"]
+    docs = [f"before {x} after it, {x} again" for x in items[:2]] + [f"前後{x}前後" for x in items[2:5]]
+    docs += ["the capital is what", "中国首都的是哪里", "東京", "one two three four", None, ""]
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} BIGINT, text STRING")
+    rows = contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in rows) == [
+        (0, 0, 1, 1.0), (1, 1, 1, 1.0), (2, 2, 2, 1.0), (3, 3, 2, 1.0), (4, 4, 2, 1.0)
+    ]
+
+
 def test_edited_texts(spark, documents):
     rows = sorted(texts_of(documents), reverse=True)
     after = dict(zip([r[0] for r in rows], rows[1:] + rows[:1], strict=True))

@@ -30,17 +30,23 @@ class Decontam:
     per_pass: int = 20_000
 
 
+#: Scripts without spaces between words: each character is a word, with its marks.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_WORD = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+|[\p{{L}}\p{{N}}&&[{_UNSPACED}]]\p{{M}}*"
+
+
 def _word_hashes(text: str) -> Column:
-    """Hashes of the words, runs of letters and digits in lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Hashes of the words, runs of letters and digits in lower case or single characters of unspaced scripts."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
     return F.transform(F.coalesce(words, F.array()), lambda w: F.xxhash64(w))
 
 
-def _shingles(words: str, k: int) -> Column:
-    """Hashes of k words in a row."""
-    at = F.sequence(F.lit(0), F.size(words) - k)
+def _shingles(words: str, k: int, least: int = 1) -> Column:
+    """Hashes of k words in a row. Fewer words, but no fewer than ``least``, are one shingle: NULLs do not
+    change a hash."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
     found = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(k)]))
-    return F.when(F.size(words) >= k, found).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= least, found).otherwise(F.array().cast("array<bigint>"))
 
 
 def _simhash(words: str) -> Column:
@@ -78,15 +84,15 @@ def contaminated(
     """``(id, item, start, n_words, hamming, similarity)``: for every text and item with a window of similarity
     ``percent`` or more, the best window (the first of equals), in words. Ids keep their names.
 
-    NULL and empty texts, and those shorter than a shingle, match nothing; nor do items of fewer than
-    ``words`` words. A window that would reach over an end of the text is moved inside, and is the whole
+    NULL and empty texts match nothing, nor do items without a word. An item of fewer than ``words`` words is one
+    shingle, found where all its words stand in a row. A window that would reach over an end of the text is moved inside, and is the whole
     text if that is shorter than the item. Rows that repeat an id are looked at one by one and reported
     once; rows without an id are reported under NULL. Other columns are not read.
     """
     k = spec.words
     items = (
         benchmark.select(F.col(item_col).alias("item"), _word_hashes(item_text_col).alias("w"))
-        .where(F.size("w") >= k)
+        .where(F.size("w") > 0)
         .select("item", "w", F.size("w").alias("length"), _shingles("w", k).alias("item_shingles"), _simhash("w").alias("item_hash"))
     )
     items = settled(items)
@@ -94,14 +100,18 @@ def contaminated(
     # The benchmark is the query set: its shingles, not the texts', come to the driver.
     known = sorted({row[0] for row in places.select("shingle").distinct().toLocalIterator()})
     passes = [known[i : i + spec.per_pass] for i in range(0, len(known), spec.per_pass)] or [[]]
+    short = sorted(row[0] for row in items.where(F.col("length") < k).select("length").distinct().collect())  # under k rows
     # The row number keeps the optimizer from moving a step into a function that runs per element, or a
     # filter below it: either would compute the words again for every element.
     texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _word_hashes(text_col).alias("w"))
-    texts = texts.select("id", "row", "w", _shingles("w", k).alias("s"))
+    texts = texts.select("id", "row", "w", _shingles("w", k, k).alias("s"), *[_shingles("w", n, n).alias(f"s{n}") for n in short])
 
     def windows(part: list[int]) -> DataFrame:
         wanted = ",".join(f"{x}L" if x > -(2**63) else "(-9223372036854775807L-1)" for x in part) or "NULL"
-        hits = F.expr(f"filter(transform(s, (h, i) -> IF(h IN ({wanted}), struct(h AS shingle, i AS at), NULL)), x -> x IS NOT NULL)")
+        hit = "filter(transform({0}, (h, i) -> IF(h IN ({1}){2}, struct(h AS shingle, i AS at), NULL)), x -> x IS NOT NULL)"
+        # All windows of a short item are alike: the first is the best.
+        first = [hit.format(f"s{n}", wanted, f" AND array_position(s{n}, h) = i + 1") for n in short]
+        hits = F.expr(f"concat({', '.join([hit.format('s', wanted, ''), *first])})")
         found = texts.select("id", "row", "w", hits.alias("hits"))
         found = found.select("id", "row", "w", F.explode("hits").alias("hit"))
         found = found.select("id", "row", "w", "hit.shingle", "hit.at")
