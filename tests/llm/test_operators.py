@@ -154,6 +154,20 @@ def test_repeated_and_address_safe_layers():
     assert secrets(f"x {url} y")[1] == [("assign", 2, 2 + len(url))]
 
 
+def test_base64_over_several_lines():
+    """Secrets in wrapped base64, plain and compressed, across a break or a character cut by one."""
+    plain = "é" * 28 + 'token = "abcdefghijkl123"' + "é" * 60
+    noise = "".join(hashlib.sha512(str(i).encode()).hexdigest()[:9] + "~" for i in range(40))
+    for data in (plain.encode(), gzip.compress(f"{noise} {plain}".encode())):
+        coded = base64.b64encode(data).decode()
+        for width in (64, 76):
+            for glue in ("\n", "\r\n", "\n    ", '"\n  "', "\\n"):
+                wrapped = glue.join(coded[i : i + width] for i in range(0, len(coded), width))
+                for before in ("before: ", "averyveryverylongword\n"):
+                    found = secrets(f"{before}{wrapped}\n\nafter")[1]
+                    assert ("assign", len(before), len(before) + len(wrapped)) in found, (width, glue, before)
+
+
 def test_base_findings_agree_with_plain_patterns(spark, documents):
     kinds = {
         "assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),

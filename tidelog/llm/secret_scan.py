@@ -1,8 +1,8 @@
 """Secret scans by a recursive decoding worklist.
 
 A text is scanned as it is. Then encoded layers are unwrapped and put on a worklist: percent-encoding and
-Unicode or HTML escapes in place, so that a key before the encoded part still stands before it; base64 runs
-and compressed data inside them as layers of their own. Every layer is scanned and unwrapped again until
+Unicode or HTML escapes in place, so that a key before the encoded part still stands before it; base64 runs,
+also over several lines, and compressed data inside them as layers of their own. Every layer is scanned and unwrapped again until
 none is left. A layer whose content was seen before at the same place is not taken up again, so cycles end, while
 what is repeated is found at each of its places. Each character of a layer knows the part of the original text
 it came from, so all spans are those of the original.
@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -43,6 +44,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,8};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+# One line break with indentation, quote marks and the like; also one that is escaped.
+_BREAK = r"""(?:["'][\x20\t]*+\+)?[\x20\t"',]*+(?:\\?(?:\r\n?|\n)|(?:\\r)?\\n)[\x20\t"'>#*]*+"""
+# Nothing is given back and runs start at their first character only, so the time is in proportion to the text.
+_WRAPPED, _WRAPPED_URL = (
+    re.compile(rf"(?<!{c}){c}{{16,}}+(?:{_BREAK}{c}{{16,}}+)*+(?:{_BREAK}{c}++)?={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")
+)
+_BREAKS = re.compile(_BREAK)
 _WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+")
 LONGEST_LAYER = 1 << 26
 
@@ -152,8 +160,8 @@ def _inflate(data: bytes) -> bytes | None:
 def _unpacked(run: str) -> str | None:
     """Text inside a base64 run, through any compressed layers right below it."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+    if len(body) % 4 == 1:  # the last character is half a byte at most
+        body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
@@ -188,13 +196,26 @@ def _base64_runs(text: str):
             yield *m.span(), new
 
 
+def _wrapped_runs(text: str):
+    """Start, end and contents of base64 runs over several lines. A run is also tried from its second line on, as a
+    long word may stand at the end of the line before it."""
+    patterns = [_WRAPPED, _WRAPPED_URL] if "-" in text or "_" in text else [_WRAPPED]
+    for m in (m for pattern in patterns for m in pattern.finditer(text)):
+        if not (first := _BREAKS.search(m[0])):
+            continue
+        for start in (0, first.end()):
+            run = _BREAKS.sub("", m[0][start:])
+            if len(run.rstrip("=")) >= 16 and (new := _unpacked(run)) is not None:
+                yield m.start() + start, m.end(), new
+
+
 def _unwrap(layer: Layer):
     text = layer.text
     if "%" in text and (new := _in_place(layer, _PERCENT, _percent)):
         yield new
     if ("\\" in text or "&" in text) and (new := _in_place(layer, _ESCAPE, _escape)):
         yield new
-    for start, end, new in _base64_runs(text):
+    for start, end, new in chain(_base64_runs(text), _wrapped_runs(text) if "\n" in text or "\r" in text or "\\n" in text else ()):
         a, b = layer.span(start, end)
         yield Layer(new, _repeated(a, len(new)), _repeated(b, len(new)))
 
