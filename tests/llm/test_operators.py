@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections import Counter
 from urllib.parse import quote
 
@@ -13,6 +14,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -168,6 +170,29 @@ def test_base64_over_several_lines():
                     assert ("assign", len(before), len(before) + len(wrapped)) in found, (width, glue, before)
 
 
+def test_layers_that_are_not_plain_text(monkeypatch):
+    """One odd character, another encoding, several members or a great length do not hide a layer's secrets."""
+    plain = 'token = "abcdefghijkl123"'
+    cases = [f"{odd} {plain}".encode() for odd in ("\ufeff", "\u200d", "\u00ad", "\0", "\x1b", "\ue000")]
+    cases += [plain.encode("utf-16-le"), plain.encode("utf-16"), plain.encode("utf-16-be"), b"x" + f"é {plain}".encode("utf-16-le"), f"é {plain}".encode("latin-1")]
+    pack = [gzip.compress, zlib.compress, zstandard.compress]
+    cases += [f(b"nothing here, ") + f(plain.encode()) for f in pack] + [gzip.compress(b"nothing") + plain.encode()]
+    cases += [f(g(b"nothing") + g(plain.encode())) for f in pack for g in pack]
+    for data in cases:
+        coded = base64.b64encode(data).decode()
+        assert ("assign", 2, 2 + len(coded)) in secrets(f"x {coded} y")[1], data
+    for data in (f"é {plain}".encode("latin-1"), plain.encode("utf-16-le")):
+        coded = quote(data, safe="")
+        assert any(kind == "assign" for kind, _, _ in secrets(f"x {coded} y")[1]), data
+    monkeypatch.setattr("tidelog.llm.secret_scan.LONGEST_LAYER", 1 << 20)
+    for n in (3 << 20, (1 << 20) - 12, (3 << 20) - 12):
+        for filler in ("(a word) ", "a"):
+            text = (filler * n)[:n] + " " + plain + (filler * n)[:n]
+            for f in pack:
+                coded = base64.b64encode(f(text.encode())).decode()
+                assert ("assign", 2, 2 + len(coded)) in secrets(f"x {coded} y")[1], (n, filler, f)
+
+
 def test_base_findings_agree_with_plain_patterns(spark, documents):
     kinds = {
         "assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),

@@ -13,12 +13,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
-import gzip
 import hashlib
 import html
+import io
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 from urllib.parse import unquote_to_bytes
@@ -52,22 +53,32 @@ _WRAPPED, _WRAPPED_URL = (
 )
 _BREAKS = re.compile(_BREAK)
 _WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+")
+_WIDE = re.compile(r"(?:[\x20-\x7e]\0+){8}")
 LONGEST_LAYER = 1 << 26
+_NULS = re.compile(r"\0+")
+_CHUNK = 1 << 20
+# A byte that is part of no finding and no encoded run, so that a layer can be cut behind it.
+_CUT = re.compile(rb"[!$()?@\[\]^`|~\x01-\x08\x0e-\x1f\x7f-\xff]")
+_OVERLAP = 1 << 16
 
 
 @dataclass(frozen=True)
 class Layer:
-    """Decoded text; character i comes from ``[starts[i], ends[i])`` of the original. None: from itself."""
+    """Decoded text; character i comes from ``[starts[i], ends[i])`` of the original. None: from itself, or all
+    from ``run``."""
 
     text: str
     starts: array | None = None
     ends: array | None = None
+    run: tuple[int, int] | None = None
 
     @property
     def place(self) -> tuple[int, int]:
         return self.span(0, len(self.text)) if self.text else (0, 0)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.run is not None:
+            return self.run
         if self.starts is None:
             return start, end
         return min(self.starts[start:end]), max(self.ends[start:end])
@@ -95,6 +106,8 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def keep(a: int, b: int) -> None:
         out.append(layer.text[a:b])
+        if layer.run is not None:
+            return
         starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
         ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
 
@@ -104,22 +117,20 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             continue
         changed = True
         keep(at, m.start())
-        a, b = layer.span(*m.span())
         out.append(new)
-        starts.extend(_repeated(a, len(new)))
-        ends.extend(_repeated(b, len(new)))
+        if layer.run is None:
+            a, b = layer.span(*m.span())
+            starts.extend(_repeated(a, len(new)))
+            ends.extend(_repeated(b, len(new)))
         at = m.end()
     if not changed:
         return None
     keep(at, len(layer.text))
-    return Layer("".join(out), starts, ends)
+    return Layer("".join(out), starts, ends) if layer.run is None else Layer("".join(out), run=layer.run)
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return unquote_to_bytes(run).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return unquote_to_bytes(run).decode(errors="replace")
 
 
 def _escape(run: str) -> str | None:
@@ -132,49 +143,110 @@ def _escape(run: str) -> str | None:
     if run.startswith("\\x"):
         return chr(int(run[2:], 16))
     units = b"".join(int(x, 16).to_bytes(2, "big") for x in run.split("\\u")[1:])
-    try:
-        return units.decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
+    return units.decode("utf-16-be", errors="replace")
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Unpacked data, if it is in a known format. Longer results than LONGEST_LAYER are refused."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 0x0F == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-            unpack = zlib.decompressobj()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(LONGEST_LAYER + 1)
-            return out if len(out) <= LONGEST_LAYER else None
-        else:
-            return None
-        out = unpack.decompress(data, LONGEST_LAYER + 1)
-        return out if len(out) <= LONGEST_LAYER else None
-    except (zlib.error, zstandard.ZstdError, gzip.BadGzipFile, EOFError):
-        return None
+class _Parts(io.RawIOBase):
+    """Bytes of an iterator as a file."""
+
+    def __init__(self, parts: Iterator[bytes]) -> None:
+        self.parts, self.rest = parts, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.rest:
+            if (part := next(self.parts, None)) is None:
+                return 0
+            self.rest = memoryview(part)
+        n = min(len(room), len(self.rest))
+        room[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
 
+def _packed(head: bytes) -> int | None:
+    """Window bits of a gzip or zlib head, 0 of zstd."""
+    if head[:2] == b"\x1f\x8b":
+        return 31
+    if len(head) > 2 and head[0] & 0x0F == 8 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return 15
+    return 0 if head[:4] == b"\x28\xb5\x2f\xfd" else None
 
-def _unpacked(run: str) -> str | None:
-    """Text inside a base64 run, through any compressed layers right below it."""
+
+def _inflated(data: io.BufferedIOBase) -> Iterator[bytes]:
+    """Unpacked data of all members or frames in a row, as far as they are intact, and what stands behind."""
+    rest = data.read(_CHUNK)
+    while (bits := _packed(rest)) is not None:
+        if bits:
+            unpack = zlib.decompressobj(bits)
+        else:
+            unpack = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            # zstd has no bound on the output of a call, so it gets little at a time: 128 KB a block of four bytes.
+            while not unpack.eof and rest:
+                step = rest if bits else rest[:256]
+                yield unpack.decompress(step, _CHUNK) if bits else unpack.decompress(step)
+                rest = (unpack.unconsumed_tail if bits else rest[256:]) or (b"" if unpack.eof else data.read(_CHUNK))
+        except (zlib.error, zstandard.ZstdError):
+            return
+        rest = unpack.unused_data + (rest if not bits else b"")
+        if len(rest) < 4:
+            rest += data.read(_CHUNK)
+        rest = rest.lstrip(b"\0")
+    while rest:
+        yield rest
+        rest = data.read(_CHUNK)
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Bytes as one piece or, beyond LONGEST_LAYER, in pieces cut where no finding and no encoded run can be. Only
+    where no such place is for LONGEST_LAYER do pieces overlap instead."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size <= LONGEST_LAYER:
+            continue
+        data = b"".join(held)
+        back = data[::-1]
+        cut = len(data) - at.start() if (at := _CUT.search(back)) else 0
+        yield data[:cut] or data
+        held = [data[cut:] if cut else data[-_OVERLAP:]]
+        size = len(held[0])
+    yield b"".join(held)
+
+
+def _readings(data: bytes) -> Iterator[str]:
+    """Bytes as text that has ASCII right in any case, in UTF-16 of both orders as well."""
+    text = data.decode(errors="replace")
+    yield text
+    if "\0" in text and _WIDE.search(text):
+        yield data.decode("utf-16-le", errors="replace")
+        yield data[1:].decode("utf-16-le", errors="replace")
+
+
+def _unpacked(run: str) -> Iterator[str]:
+    """Texts inside a base64 run, and in any compressed layers right below it."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:  # the last character is half a byte at most
         body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    seen = set()
-    while (digest := hashlib.sha256(data).digest()) not in seen:
+        return
+    yield from _readings(data)
+    seen, below = set(), lambda: io.BytesIO(data)
+    while _packed(below().read(4)) is not None:
+        # Layers that are long are unpacked anew for each use, so that none is held whole.
+        inner = lambda outer=below: io.BufferedReader(_Parts(_inflated(outer())))
+        whole = inner().read(_CHUNK)
+        if (digest := hashlib.sha256(whole).digest()) in seen:
+            return
         seen.add(digest)
-        data = _inflate(data) or data
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c.isspace() for c in text) else None
+        for piece in _pieces(_inflated(below())):
+            yield from _readings(piece)
+        below = inner
 
 
 def _base64_runs(text: str):
@@ -183,16 +255,17 @@ def _base64_runs(text: str):
     taken = []
     if "-" in text or "_" in text:
         for m in _BASE64_URL.finditer(text):
-            if ("-" in m[0] or "_" in m[0]) and (new := _unpacked(m[0])) is not None:
+            if "-" in m[0] or "_" in m[0]:
                 taken.append(m.span())
-                yield *m.span(), new
+                for new in _unpacked(m[0]):
+                    yield *m.span(), new
     for m in _BASE64.finditer(text):
         if _WORD.fullmatch(m[0]):  # a word in one case, or capitalised
             continue
         before = bisect.bisect_right(taken, m.start(), key=lambda span: span[0])
         if before and m.end() <= taken[before - 1][1]:
             continue
-        if (new := _unpacked(m[0])) is not None:
+        for new in _unpacked(m[0]):
             yield *m.span(), new
 
 
@@ -205,38 +278,47 @@ def _wrapped_runs(text: str):
             continue
         for start in (0, first.end()):
             run = _BREAKS.sub("", m[0][start:])
-            if len(run.rstrip("=")) >= 16 and (new := _unpacked(run)) is not None:
-                yield m.start() + start, m.end(), new
+            if len(run.rstrip("=")) >= 16:
+                for new in _unpacked(run):
+                    yield m.start() + start, m.end(), new
 
 
 def _unwrap(layer: Layer):
     text = layer.text
     if "%" in text and (new := _in_place(layer, _PERCENT, _percent)):
         yield new
+    if "\0" in text and _WIDE.search(text) and (new := _in_place(layer, _NULS, lambda _: "")):
+        yield new
     if ("\\" in text or "&" in text) and (new := _in_place(layer, _ESCAPE, _escape)):
         yield new
+    # A generator: of a long layer's pieces only one is held at a time.
     for start, end, new in chain(_base64_runs(text), _wrapped_runs(text) if "\n" in text or "\r" in text or "\\n" in text else ()):
-        a, b = layer.span(start, end)
-        yield Layer(new, _repeated(a, len(new)), _repeated(b, len(new)))
+        yield Layer(new, run=layer.span(start, end))
 
 
 def _sorted(found: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _known(layer: Layer) -> tuple[bytes, tuple[int, int]]:
+    return hashlib.sha256(layer.text.encode(errors="surrogatepass")).digest(), layer.place
+
+
 def secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Findings in the text itself, and all findings with those of decoded layers."""
     base = scan(text or "")
     first = Layer(text or "")
-    found, seen, work = set(base), {(first.text, first.place)}, [first]
+    found, seen = set(base), {_known(first)}
+    work = [_unwrap(first)]
     while work:
-        for layer in _unwrap(work.pop()):
-            known = layer.text, layer.place
-            if known in seen:
-                continue
-            seen.add(known)
-            found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
-            work.append(layer)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (known := _known(layer)) in seen:
+            continue
+        seen.add(known)
+        found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
+        work.append(_unwrap(layer))
     return _sorted(set(base)), _sorted(found)
 
 
