@@ -274,6 +274,18 @@ def test_order_counts(spark):
     assert row.m < 0.8 < row.e
 
 
+def test_edits_of_text_without_spaces(spark):
+    """One character more at the front or in the middle leaves most of a fingerprint, one moved half does not."""
+    digits = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(30))
+    long = [base64.b64encode(bytes.fromhex(digits)).decode(), "".join(chr(0x4E00 + int(digits[i : i + 3], 16)) for i in range(0, 3000, 3))]
+    texts = [t for x in long for t in (x, "y" + x, x[:500] + "y" + x[500:], x[500:] + x[:500])]
+    sketch = order_minhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    pairs = sketch.alias("a").join(sketch.alias("b"), F.expr("a.doc_id % 4 = 0 AND b.doc_id - a.doc_id BETWEEN 1 AND 3"))
+    rows = pairs.select(F.expr("b.doc_id % 4").alias("edit"), order_minhash.likeness("a.sketch", "b.sketch").alias("near")).collect()
+    assert len(rows) == 6 and all(r.near > 0.8 for r in rows if r.edit < 3), rows
+    assert all(r.near < 0.8 for r in rows if r.edit == 3), rows
+
+
 def test_licenses(spark):
     texts = ["x y z. Released under the MIT License. more", "Licensed under the Apache Licence, Version 2.0. And Licensed under CC BY-NC 4.0.", "the license"]
     got = license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()

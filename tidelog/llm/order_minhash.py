@@ -1,8 +1,9 @@
 """Document fingerprints by Order MinHash, in DataFrame operations only.
 
 Marcais and others, "Locality-sensitive hashing for the edit distance" (2019). A text is a sequence of tokens
-(up to eight characters of a word, with the white space behind them), its k-mers are ``k`` tokens in a
-row. Equal k-mers are told apart by their occurrence number. The numbered k-mers are dealt into ``slots`` by
+(a word of up to 16 characters with the white space behind it; of a longer run each character before the last 16),
+its k-mers are ``k`` tokens in a row. Where tokens begin depends on the 16 characters ahead only, so an edit changes
+none further on. Equal k-mers are told apart by their occurrence number. The numbered k-mers are dealt into ``slots`` by
 their hash; of each slot those with the ``keep`` smallest hashes are selected, put back in text order, and
 hashed as a tuple. Two texts agree in a slot if they select the same k-mers in the same order, so the share of
 equal slots falls with the edit distance, and moving passages lowers it as well. Dealing k-mers into slots
@@ -42,7 +43,7 @@ def _sketch(df: DataFrame, text: str, out: str, spec: OrderMinHash) -> DataFrame
     """
     mask, k, keep = (1 << _POSITION_BITS) - 1, spec.k, spec.keep
     token = F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(r"\S{1,8}\s*|\s+"), F.lit(0)), lambda t: F.xxhash64(t)
+        F.regexp_extract_all(F.col(text), F.lit(r"\S{1,16}+(?!\S)\s*|\S|\s+"), F.lit(0)), lambda t: F.xxhash64(t)
     )
     df = df.withColumn("_row", F.monotonically_increasing_id())
     own = df.columns
