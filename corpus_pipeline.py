@@ -43,16 +43,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(settled(dropped), "doc_id", "left_anti").select(*_columns(docs))
+    """Keep the row with the smallest id of each group of near-duplicates (five words, 0.8), any one of those with that
+    id or, if there is no id in the group, any one of all."""
+    # Made once and stored: a row without an id or with a repeated one can be told by it.
+    docs = settled(docs.withColumn("_row", F.monotonically_increasing_id()), compression="snappy")
+    groups = near_duplicates(docs, id_col="_row").select("_row", "component_id")
+    rows = settled(groups.join(docs.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    first = rows.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = rows.join(first, "component_id").where("_row != first._row").select("_row")
+    return docs.join(settled(dropped), "_row", "left_anti").select(*[c for c in _columns(docs) if c != "`_row`"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a passage of the benchmark. Rows without an id cannot be told apart: if one of
-    them matches, all go."""
-    found = settled(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found"]), "left_anti").select(*_columns(docs))
+    """Drop rows with a passage of the benchmark. That depends on the text alone, so it is the text's digest that is
+    reported and compared: ids may be missing or repeated."""
+    texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
+    found = settled(contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct())
+    return docs.join(found, F.sha2(docs["text"], 256) == found["found"], "left_anti").select(*_columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,6 +325,19 @@ def test_warc_records(spark, tmp_path):
     assert written.count(b"WARC/1.1\r\n") == 6 and written.endswith(b"\r\n\r\n")
 
 
+def test_pipeline_looks_at_rows_not_ids(spark, documents):
+    """A missing or repeated id neither takes a clean row along nor keeps a copy."""
+    bad = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in ("ape", "bee", "cat", "dog"))
+    frame = lambda rows: spark.createDataFrame([(*r, "en", "s", 1) for r in rows], documents.schema)
+    kept = lambda stage, rows: Counter(texts_of(stage(spark, frame(rows), SF_DIR)))
+    clean = [(None, a), (7, b), (None, None), (7, None), (8, c)]
+    assert kept(corpus_pipeline.decontaminate, [*clean, (None, bad), (7, bad)]) == Counter(clean)
+    rows = [(None, a), (None, a), (3, b), (3, b), (3, c), (9, d), (2, d), (None, d), (None, None), (None, None), (3, "")]
+    expected = [(None, a), (3, b), (3, c), (2, d), (None, None), (None, None), (3, "")]
+    assert kept(corpus_pipeline.near_dedup, rows) == Counter(expected)
+
+
 def test_pipeline_keeps_clean_documents(spark, documents, edges):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs, columns = documents, documents.columns

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+def settled(df: DataFrame, rows: int | None = None, compression: str = "none") -> DataFrame:
     """``df``, written as a table in the shared folder and read from there from now on.
 
     It is computed once, whatever uses it, and lost executors cost no more than the tasks they ran. Unlike
@@ -38,8 +38,8 @@ def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     folders.append(shared_folder(spark, "llm"))
     if rows is not None:
         df = df.coalesce(1 + rows // _ROWS_PER_TASK)
-    # Without compression: its buffers lie outside the heap and stay until the executor collects garbage.
-    df.write.option("compression", "none").parquet(folders[-1])
+    # Mostly without compression: its buffers lie outside the heap and stay until the executor collects garbage.
+    df.write.option("compression", compression).parquet(folders[-1])
     return spark.read.schema(df.schema).parquet(folders[-1])
 
 
