@@ -22,7 +22,7 @@ from tests.llm.conftest import EDGES, SF_DIR
 from tidelog.llm import order_minhash
 from tidelog.llm.common import clear_scratch, settled
 from tidelog.llm.decontam import contaminated
-from tidelog.llm.lang_id import identify
+from tidelog.llm.lang_id import identify, train
 from tidelog.llm.license_scan import TEMPLATES, license_spans
 from tidelog.llm.near_dups import NearDups, near_duplicates
 from tidelog.llm.oracles import ORACLES
@@ -215,6 +215,14 @@ def test_held_out_accuracy(spark, documents):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_languages_of_long_and_missing_texts_are_learned(spark):
+    """A language is learned from long texts, and from what there is behind many rows without a text."""
+    rows = [(1, "le renard brun saute par dessus le chien " * 2500, "fr"), (2, "the quick brown fox jumps over the dog", "en")]
+    rows += [(i, None, "de") for i in range(3, 1500)] + [(1500, "der schnelle braune fuchs springt", "de")]
+    trees = train(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), F.lit(True))
+    assert trees.langs == ["de", "en", "fr"]
+
+
 def test_every_verbatim_passage_is_found(spark, documents):
     items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
     words = lambda text: f" {' '.join(re.findall(r'[^\W_]+', text.lower()))} "

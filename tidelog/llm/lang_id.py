@@ -7,8 +7,7 @@ its distinct bytes, plus the escape ``-log2(q / (n + q))`` of every longer known
 length is a sum of table entries: all escapes are resolved in advance. The language with the shortest
 code wins.
 
-Training takes a bounded sample: ``sample_docs`` labelled documents of each language of up to
-``longest_doc`` bytes. Of the three-byte contexts the ``max_contexts`` most frequent are kept; others
+Training takes a bounded sample: ``sample_docs`` labelled documents of each language, of any length. Of the three-byte contexts the ``max_contexts`` most frequent are kept; others
 fall back to two bytes. So the model has a size that does not depend on the corpus.
 """
 
@@ -34,6 +33,17 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(_LEAD + text.lower().encode(), np.uint8)
 
 
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct four-byte strings of a text, as numbers, and their counts, piece by piece."""
+    data, found, times = _bytes(text), np.empty(0, np.int64), np.empty(0, np.int64)
+    for start in range(3, len(data), _PIECE):
+        b = data[start - 3 : start + _PIECE].astype(np.int64)
+        more, n = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
+        found, inverse = np.unique(np.concatenate([found, more]), return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([times, n])).astype(np.int64)
+    return found, times
+
+
 @dataclass(frozen=True)
 class ContextTrees:
     """``costs[node * 256 + byte]`` has the bits of a byte in every language. A node is found by the last
@@ -105,29 +115,25 @@ def train(
     docs: DataFrame,
     usable: Column,
     sample_docs: int = 300,
-    longest_doc: int = 65_536,
     max_contexts: int = 8_192,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> ContextTrees:
     """Trees of all languages among the ``usable`` rows with an id, a text and a language."""
-    rows = docs.where(usable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.where(usable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # Spark keeps the first rows of every task only, so a large language is no large shuffle. The result
     # has sample_docs rows a language at most, whatever the corpus, and can be broadcast.
     sample = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
-    texts = rows.join(F.broadcast(sample.select("id", "lang").distinct()), ["id", "lang"]).where("text IS NOT NULL")
+    texts = rows.join(F.broadcast(sample.select("id", "lang").distinct()), ["id", "lang"])
 
     def start():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, grams, counts = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = _bytes(text).astype(np.int64)
-                if len(b) - len(_LEAD) > longest_doc:
-                    continue
-                found, times = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
+                found, times = _grams(text)
                 langs += [lang] * len(found)
                 grams.append(found)
                 counts.append(times)
