@@ -240,10 +240,12 @@ def _unpacked(run: str) -> Iterator[str]:
     while _packed(below().read(4)) is not None:
         # Layers that are long are unpacked anew for each use, so that none is held whole.
         inner = lambda outer=below: io.BufferedReader(_Parts(_inflated(outer())))
-        whole = inner().read(_CHUNK)
-        if (digest := hashlib.sha256(whole).digest()) in seen:
+        digest = hashlib.sha256()
+        for part in _inflated(below()):
+            digest.update(part)
+        if digest.digest() in seen:
             return
-        seen.add(digest)
+        seen.add(digest.digest())
         for piece in _pieces(_inflated(below())):
             yield from _readings(piece)
         below = inner
