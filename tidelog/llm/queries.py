@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.centroids import cluster
 from tidelog.llm.common import table
 from tidelog.llm.decontam import contaminated
 from tidelog.llm.lang_id import identify
+from tidelog.llm.lexical import search
 from tidelog.llm.license_scan import license_spans
 from tidelog.llm.near_dups import NearDups, near_duplicates
 from tidelog.llm.order_minhash import as_text, compare_edited
@@ -16,6 +18,7 @@ from tidelog.llm.piece_codec import digests
 from tidelog.llm.quality import quality_scores
 from tidelog.llm.secret_scan import KINDS, secret_spans, span_text
 from tidelog.llm.token_counts import token_counts
+from tidelog.llm.topk_search import exact_top_k
 from tidelog.llm.warc import derivatives, responses
 
 PIECES = "piece_bpe_32k.model"
@@ -76,6 +79,18 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +104,8 @@ QUERIES = {
         op8_quality_scores,
         op9_warc_derivatives,
         op10_piece_codec,
+        op11_exact_top_k,
+        op12_centroids,
+        op13_ranked_search,
     )
 }
