@@ -34,6 +34,7 @@ _POSTINGS = 128
 _SHARD_BYTES, _SHARD_DOCS = 6 << 20, 1 << 14
 _DOCS = b""  # the "term" of the rows that hold a shard's documents
 _BLOCK_ITEMS = 1_024
+_GROUPS_PER_TASK = 4
 _INDEX = "shard bigint, term binary, last int, postings int, tf int, n bigint, data binary, ids binary"
 
 
@@ -182,7 +183,7 @@ class _List:
             a, z = np.searchsorted(found, [low, high])
             if a < z:
                 yield found[a:z], scores[a:z]
-            if z < len(found):
+            if self.last[b] >= high - 1:
                 return
 
 
@@ -276,8 +277,8 @@ def search(
     of about 1,024, so neither their number nor the corpus is held anywhere; one item's terms and one shard are.
     """
     stored = index(docs, doc_col, text_col)
-    facts = stored.where(F.col("term") == F.lit(_DOCS)).agg(F.sum("postings"), F.sum("n")).first()
-    with_terms, total = int(facts[0] or 0), int(facts[1] or 0)
+    facts = stored.where(F.col("term") == F.lit(_DOCS)).agg(F.sum("postings"), F.sum("n"), F.count("*")).first()
+    with_terms, total, shards = int(facts[0] or 0), int(facts[1] or 0), facts[2]
     kind, doc_kind = items.schema[item_col].dataType.simpleString(), docs.schema[doc_col].dataType.simpleString()
     if not total:
         return docs.sparkSession.createDataFrame([], f"`{item_col}` {kind}, rank INT, `{doc_col}` {doc_kind}, score BIGINT")
@@ -296,7 +297,9 @@ def search(
     lists = stored.join(wanted, "term").select("shard", "block", "term", "last", "postings", "tf", "n", "data", "ids", "w", "items")
     about = stored.where(F.col("term") == F.lit(_DOCS)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     about = about.withColumns({"w": F.lit(0).cast("bigint"), "items": F.lit(None).cast("array<bigint>")}).select(*lists.columns)
-    found = lists.unionByName(about).groupBy("shard", "block").applyInPandas(
+    # A few shards to a task, however many there are: searching is long work on few bytes, by which Spark would deal tasks.
+    dealt = lists.unionByName(about).repartition(-(-shards * blocks // _GROUPS_PER_TASK), "shard", "block")
+    found = dealt.groupBy("shard", "block").applyInPandas(
         _searching(k, with_terms, total), "item bigint, doc_id bigint, place bigint, score bigint, shard bigint"
     )
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "shard", "place")
