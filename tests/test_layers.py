@@ -14,9 +14,9 @@ from tidelog.__main__ import main
 from tidelog.config import PURCHASE, EntitySpec
 from tidelog.operators.timeline import union_sources
 from tidelog.plans.history import history_of
-from tidelog.plans.layers import Layers, run_layers
+from tidelog.plans.layers import Layers, ingest, malformed_lines, run_layers
 from tidelog.session import object_store_conf, shared_folder
-from tidelog.sources.events import MALFORMED, read_events, typed_events
+from tidelog.sources.events import MALFORMED, REASON, read_events, typed_events
 from tidelog.sources.tables import read_table, write_days
 
 EXTRA_INFO = PURCHASE.sources[2]
@@ -37,13 +37,14 @@ def test_chain_builds_the_golden_history(spark, tmp_path):
     _deliver(tmp_path)
     run = run_layers(spark, str(tmp_path), PURCHASE)
     assert run.counts == {
-        "bronze/purchase": {"rows": 16, "malformed": 0, "undated": 0},
-        "bronze/product_item": {"rows": 12, "malformed": 0, "undated": 0},
-        "bronze/purchase_extra_info": {"rows": 11, "malformed": 0, "undated": 0},
-        "eventos_unificados": {"rows": 36},
-        "purchase_diario": {"rows": 22},
-        "purchase_historico": {"rows": 22, "current": 10},
+        "bronze/purchase": {"rows": 16, "days": 13, "malformed": 0, "undated": 0},
+        "bronze/product_item": {"rows": 12, "days": 12, "malformed": 0, "undated": 0},
+        "bronze/purchase_extra_info": {"rows": 11, "days": 11, "malformed": 0, "undated": 0},
+        "eventos_unificados": {"rows": 36, "days": 22, "stacked": 39, "deduplicated": 38},
+        "purchase_diario": {"rows": 22, "days": 22},
+        "purchase_historico": {"rows": 22, "days": 22, "current": 10},
     }
+    assert list(run.stage_counts(PURCHASE).values()) == [39, 38, 36, 22, 22, 10]
     expected = golden.table("History (derived;")
     rows = run.history.orderBy("purchase_id", "dt_inicio_validade").collect()
     assert golden.printed(rows, list(expected[0])) == [tuple(row.values()) for row in expected]
@@ -59,7 +60,7 @@ def test_chain_builds_the_golden_history(spark, tmp_path):
     assert "hash_evento" in spark.read.parquet(layers.daily).columns
     assert spark.read.parquet(layers.bronze("purchase")).columns == [
         "transaction_datetime", "purchase_id", "buyer_id", "prod_item_id", "order_date",
-        "release_date", "producer_id", "transaction_date",
+        "release_date", "producer_id", MALFORMED, REASON, "transaction_date",
     ]
 
 
@@ -68,8 +69,8 @@ def test_steps_one_at_a_time(spark, tmp_path):
     for step in ("bronze", "timeline", "daily"):
         main(["--base", str(tmp_path), "--step", step])
     counts = main(["--base", f"{tmp_path}/", "--step", "history"])
-    assert counts == {"purchase_historico": {"rows": 22, "current": 10}}
-    assert main(["--base", str(tmp_path)])["eventos_unificados"] == {"rows": 36}
+    assert counts == {"purchase_historico": {"rows": 22, "days": 22, "current": 10}}
+    assert main(["--base", str(tmp_path)])["eventos_unificados"]["rows"] == 36
 
 
 def test_rebuilding_gives_the_same_rows(spark, tmp_path):
@@ -94,13 +95,13 @@ def test_undated_events_go_through(spark, tmp_path):
     line = ",2023-01-01,73,nacional\n"
     _deliver(tmp_path, {"purchase_extra_info": line})
     run = run_layers(spark, str(tmp_path), PURCHASE)
-    assert run.counts["bronze/purchase_extra_info"] == {"rows": 12, "malformed": 0, "undated": 1}
+    assert run.counts["bronze/purchase_extra_info"] == {"rows": 12, "days": 11, "malformed": 0, "undated": 1}
     assert run.history.count() == 23
     versions = run.history.filter("purchase_id = 73").orderBy("dt_inicio_validade").collect()
     assert [row.dt_inicio_validade for row in versions] == [None, dt.date(2023, 4, 18)]
     assert [row.dt_fim_validade for row in versions] == [dt.date(2023, 4, 17), None]
     assert [row.subsidiary for row in versions] == ["nacional", "nacional"]
-    feeds = {name: f.drop(MALFORMED) for name, f in typed_events(spark, f"{tmp_path}/raw", PURCHASE).items()}
+    feeds = {name: f.drop(MALFORMED, REASON) for name, f in typed_events(spark, f"{tmp_path}/raw", PURCHASE).items()}
     direct = history_of(union_sources(feeds, PURCHASE), PURCHASE).select(run.history.columns)
     assert direct.exceptAll(run.history).count() == run.history.exceptAll(direct).count() == 0
 
@@ -129,7 +130,7 @@ def test_malformed_cell_is_null_and_counted(spark, tmp_path):
     line = "2023-01-21 08:00:00,2023-01-21,55,696969,ten,50.00\n"
     _deliver(tmp_path, {"product_item": line})
     run = run_layers(spark, str(tmp_path), PURCHASE)
-    assert run.counts["bronze/product_item"] == {"rows": 13, "malformed": 1, "undated": 0}
+    assert run.counts["bronze/product_item"] == {"rows": 13, "days": 13, "malformed": 1, "undated": 0}
     version = run.history.filter("dt_inicio_validade = DATE'2023-01-21'").first()
     assert version.item_quantity is None and str(version.purchase_value) == "50.00"
     raw = read_events(spark, f"{tmp_path}/raw/product_item", PURCHASE.sources[1])
@@ -137,6 +138,35 @@ def test_malformed_cell_is_null_and_counted(spark, tmp_path):
     assert [row[MALFORMED] for row in bad] == [line.strip()]
 
 
+def test_malformed_lines_are_kept_with_feed_and_reason(spark, tmp_path):
+    lines = {
+        "product_item": "2023-01-21 08:00:00,2023-01-21,55,696969,ten,50.00\nyesterday,,x,1,2,3.00\n",
+        "purchase_extra_info": "2023-01-22 08:00:00,2023-01-22,55\n2023-01-22 09:00:00,,,\n",
+    }
+    _deliver(tmp_path, lines)
+    run = run_layers(spark, str(tmp_path), PURCHASE)
+    found = malformed_lines(spark, Layers(str(tmp_path), PURCHASE))
+    assert {(r.feed, r.line, r.reason) for r in found.collect()} == {
+        ("product_item", "2023-01-21 08:00:00,2023-01-21,55,696969,ten,50.00", "item_quantity is no INT"),
+        ("product_item", "yesterday,,x,1,2,3.00", "transaction_datetime is no TIMESTAMP_NTZ; purchase_id is no BIGINT"),
+        ("purchase_extra_info", "2023-01-22 08:00:00,2023-01-22,55", "wrong number of cells"),
+    }
+    counted = {name: run.counts[f"bronze/{name}"]["malformed"] for name in golden.feeds()}
+    assert counted == {"purchase": 0, "product_item": 2, "purchase_extra_info": 1}
+
+
+def test_the_raw_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Rows, counts, days and malformed lines of a feed come out of one job over its files."""
+    _deliver(tmp_path)
+    written = []
+    monkeypatch.setattr("tidelog.plans.layers.write_days", lambda rows, *a, **k: written.append(rows) or write_days(rows, *a, **k))
+    ingest(spark, Layers(str(tmp_path), PURCHASE))
+    assert len(written) == 3
+    for rows in written:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan csv") == 1
+
+
 def test_reordered_header_fails(spark, tmp_path):
     (tmp_path / "swapped.csv").write_text(
         "transaction_datetime,transaction_date,subsidiary,purchase_id\n"
@@ -160,14 +190,14 @@ def test_refreshing_days_leaves_the_others(spark, tmp_path):
     first, second, third = (dt.date(2024, 1, i) for i in (1, 2, 3))
     rows = spark.createDataFrame([(1, first), (2, second), (3, second), (4, third)], "id INT, day DATE")
     ids = lambda: {row.id for row in read_table(spark, path, rows.schema, "day").collect()}
-    assert write_days(rows, path, "day") == {"rows": 4}
+    assert write_days(rows, path, "day") == {"rows": 4, "days": 3}
     fresh = spark.createDataFrame([(9, second)], "id INT, day DATE")
-    assert write_days(fresh, path, "day", only_days=[second, third]) == {"rows": 1}
+    assert write_days(fresh, path, "day", only_days=[second, third]) == {"rows": 1, "days": 1}
     assert ids() == {1, 9}
     with pytest.raises(Exception, match="not refreshed"):
         write_days(fresh, path, "day", only_days=[first])
     assert ids() == {1, 9}
-    assert write_days(fresh.limit(0), path, "day", only_days=[first]) == {"rows": 0}
+    assert write_days(fresh.limit(0), path, "day", only_days=[first]) == {"rows": 0, "days": 0}
     assert ids() == {9}
     write_days(fresh, path, "day")
     assert ids() == {9}

@@ -19,8 +19,11 @@ from tidelog.config import EntitySpec, SourceSpec
 from tidelog.functions.fingerprint import total_order
 
 
+BLOCK, LAST = "_block_{}", "_last"
+
+
 def _block(source: SourceSpec) -> str:
-    return f"_block_{source.name}"
+    return BLOCK.format(source.name)
 
 
 def _spoke(spec: EntitySpec, source: SourceSpec) -> Column:
@@ -109,9 +112,8 @@ def fold_days(events: DataFrame, spec: EntitySpec) -> DataFrame:
     )
 
 
-def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Carry the blocks of folded days forward. A key has at most one row per calendar day here, so
-    the window by key stays small whatever the key's share of the events.
+def said_on_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Folded days with the feeds that spoke, the moment of the last event, and the blocks without time and hash.
 
     Time and hash of each block have done their work by then: the latest of them is kept for the
     day, the rest is not shuffled again.
@@ -123,18 +125,23 @@ def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
         F.when(F.col(_block(source)).isNotNull(), F.lit(source.name))
         for source in sorted(spec.sources, key=lambda s: s.name)
     ]
-    said = days.select(
+    return days.select(
         spec.key,
         spec.event_day,
-        (F.greatest(*moments) if len(moments) > 1 else moments[0]).alias("_last"),
+        (F.greatest(*moments) if len(moments) > 1 else moments[0]).alias(LAST),
         F.array_compact(F.array(*spoke_today)).alias(spec.day_sources),
         *[_part_of_block(source, source.owned).alias(_block(source)) for source in spec.sources],
     )
+
+
+def carry_blocks(said: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Carry the blocks of what was said on days forward. A key has at most one row per calendar day here, so
+    the window by key stays small whatever the key's share of the events."""
     so_far = _up_to_here(spec, spec.event_day)
     carried = said.select(
         spec.key,
         spec.event_day,
-        "_last",
+        LAST,
         spec.day_sources,
         *[
             F.last(_block(source), ignorenulls=True).over(so_far).alias(_block(source))
@@ -142,15 +149,19 @@ def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
         ],
     )
     return carried.select(
-        F.col(f"_last.{spec.event_time}").alias(spec.event_time),
+        F.col(f"{LAST}.{spec.event_time}").alias(spec.event_time),
         spec.event_day,
         spec.key,
         *_owned_from_blocks(spec),
-        F.col(f"_last.{spec.fingerprint}").alias(spec.fingerprint),
+        F.col(f"{LAST}.{spec.fingerprint}").alias(spec.fingerprint),
         spec.day_sources,
     )
 
 
+def fill_days(days: DataFrame, spec: EntitySpec) -> DataFrame:
+    return carry_blocks(said_on_days(days, spec), spec)
+
+
 def daily_state(timeline: DataFrame, spec: EntitySpec) -> DataFrame:
     """One row per key and day with all blocks filled, in one shuffle.
 

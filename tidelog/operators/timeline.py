@@ -52,6 +52,36 @@ def latest_per_source_day(events: DataFrame, spec: EntitySpec) -> DataFrame:
     return events.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
+#: Events a timeline row stands for: all of them, and those that differ.
+STACKED, DEDUPLICATED = "_stacked", "_deduplicated"
+
+
+def counted_timeline(events: DataFrame, spec: EntitySpec) -> DataFrame:
+    """:func:`latest_per_source_day` of stacked events without fingerprint, with two more columns: how many events each
+    row stands for, and how many different ones.
+
+    The counts travel with the rows and can be summed where these are written, in the last stage. Counting
+    on the way, before a shuffle, would count the tasks again that a lost executor makes Spark repeat. Contents are
+    grouped first, spread over all tasks whatever their key, so hashes are made once for each content. Both groupings
+    are combined before their shuffle.
+    """
+    contents = events.groupBy(*spec.columns).agg(F.count(F.lit(1)).alias(STACKED))
+    order = [spec.event_time, spec.fingerprint, *spec.text_columns]
+    rest = [column for column in spec.owned_columns if column not in order]
+    group = [spec.key, spec.source_tag, spec.event_day]
+    newest = (
+        with_fingerprint(contents, spec)
+        .groupBy(*group)
+        .agg(
+            F.max(F.struct(*order, *rest)).alias("_newest"),
+            F.sum(STACKED).alias(STACKED),
+            F.count(F.lit(1)).alias(DEDUPLICATED),
+        )
+    )
+    columns = [F.col(c) if c in group else F.col(f"_newest.{c}").alias(c) for c in (*spec.columns, spec.fingerprint)]
+    return newest.select(*columns, STACKED, DEDUPLICATED)
+
+
 def unify(feeds: dict[str, DataFrame], spec: EntitySpec) -> DataFrame:
     """Timeline with one row per key, feed and day, without re-sends.
 

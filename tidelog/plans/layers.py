@@ -7,6 +7,7 @@ step, never a recomputation from raw.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from pyspark.sql.types import StructType
 from tidelog.config import EntitySpec
 from tidelog.operators.history import scd2
 from tidelog.operators.state import daily_state
-from tidelog.operators.timeline import unify
-from tidelog.sources.events import MALFORMED, typed_events, with_event_day
-from tidelog.sources.tables import read_table, start_together, write_days
+from tidelog.operators.timeline import DEDUPLICATED, STACKED, counted_timeline, unify, union_sources
+from tidelog.sources.events import MALFORMED, REASON, typed_events, with_event_day
+from tidelog.sources.tables import ROWS, read_table, start_together, write_days
 
 
 @dataclass(frozen=True)
@@ -52,64 +53,92 @@ class LayerRun:
     history: DataFrame
     counts: dict[str, dict[str, int]]
 
+    def stage_counts(self, spec: EntitySpec) -> dict[str, int]:
+        """Rows after each stage, from what the steps observed while they wrote."""
+        timeline, history = self.counts[spec.timeline_table], self.counts[spec.history_table]
+        return {
+            "stacked": timeline["stacked"],
+            "deduplicated": timeline["deduplicated"],
+            "latest": timeline[ROWS],
+            "daily": self.counts[spec.daily_table][ROWS],
+            "versions": history[ROWS],
+            "current": history["current"],
+        }
+
 
 def ingest(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     """Type every raw feed and store it by day; returns counts per table, like every step here.
 
-    Rows without an event time are stored too, under the NULL day, and counted as ``undated``.
+    Rows without an event time are stored too, under the NULL day, and counted as ``undated``. Where a cell did not parse, the
+    line as delivered and the reason are stored beside the typed row; :func:`malformed_lines` reads them.
     """
     spec = layers.spec
     counts = {
-        "malformed": F.count_if(F.col("_bad")),
+        "malformed": F.count_if(F.col(MALFORMED).isNotNull()),
         "undated": F.count_if(F.col(spec.event_day).isNull()),
     }
 
     def store(name: str, feed: DataFrame) -> dict[str, int]:
-        # The raw line is only counted, not stored.
-        checked = feed.withColumn("_bad", F.col(MALFORMED).isNotNull()).drop(MALFORMED)
-        return write_days(checked, layers.bronze(name), spec.event_day, counts=counts, drop=["_bad"])
+        return write_days(feed, layers.bronze(name), spec.event_day, counts=counts)
 
     stored = start_together(store, typed_events(spark, layers.raw, spec))
     return {f"bronze/{name}": got for name, got in stored.items()}
 
 
+def malformed_lines(spark: SparkSession, layers: Layers) -> DataFrame:
+    """``(feed, day, line, reason)`` of every line with a malformed cell. Row groups without one are skipped: all their
+    lines are NULL."""
+    found = [
+        stored_layer(spark, layers, source.name, layers.bronze(source.name))
+        .where(F.col(MALFORMED).isNotNull())
+        .select(F.lit(source.name).alias("feed"), F.col(layers.spec.event_day).alias("day"), F.col(MALFORMED).alias("line"), F.col(REASON).alias("reason"))
+        for source in layers.spec.sources
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _schemas(spark: SparkSession, spec: EntitySpec) -> dict[str, StructType]:
     """Schema of every stored table, found by planning the chain over feeds without rows."""
     feeds = {
         source.name: spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in source.schema.items()))
         for source in spec.sources
     }
-    feeds = {name: with_event_day(feed, spec) for name, feed in feeds.items()}
+    lost = {name: F.lit(None).cast("string") for name in (MALFORMED, REASON)}
+    feeds = {name: with_event_day(feed.withColumns(lost), spec) for name, feed in feeds.items()}
     timeline = unify(feeds, spec)
     daily = daily_state(timeline, spec)
     frames = {**feeds, spec.timeline_table: timeline, spec.daily_table: daily}
     return {name: frame.schema for name, frame in frames.items()} | {spec.history_table: scd2(daily, spec).schema}
 
 
-def _stored(spark: SparkSession, layers: Layers, name: str, path: str) -> DataFrame:
+def stored_layer(spark: SparkSession, layers: Layers, name: str, path: str) -> DataFrame:
+    """A stored table of the chain by its name: a feed, or one of the tables the spec names."""
     return read_table(spark, path, _schemas(spark, layers.spec)[name], layers.spec.event_day)
 
 
 def build_timeline(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
-    """Undated events go through like all others; they sort before everything else of their key."""
+    """Undated events go through like all others; they sort before everything else of their key. Beside its rows the step
+    counts the events ``stacked`` and those left of them without re-sends, ``deduplicated``."""
     spec = layers.spec
-    feeds = {s.name: _stored(spark, layers, s.name, layers.bronze(s.name)) for s in spec.sources}
-    timeline = unify(feeds, spec)
-    return {spec.timeline_table: write_days(timeline, layers.timeline, spec.event_day)}
+    feeds = {s.name: stored_layer(spark, layers, s.name, layers.bronze(s.name)) for s in spec.sources}
+    timeline = counted_timeline(union_sources(feeds, spec), spec)
+    counts = {name: F.coalesce(F.sum(column), F.lit(0)) for name, column in (("stacked", STACKED), ("deduplicated", DEDUPLICATED))}
+    stored = write_days(timeline, layers.timeline, spec.event_day, counts=counts, drop=[STACKED, DEDUPLICATED])
+    return {spec.timeline_table: stored}
 
 
 def build_daily(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
-    daily = daily_state(_stored(spark, layers, spec.timeline_table, layers.timeline), spec)
+    daily = daily_state(stored_layer(spark, layers, spec.timeline_table, layers.timeline), spec)
     return {spec.daily_table: write_days(daily, layers.daily, spec.event_day)}
 
 
 def build_history(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
     current = {"current": F.count_if(F.col(spec.is_current))}
-    versions = scd2(_stored(spark, layers, spec.daily_table, layers.daily), spec)
+    versions = scd2(stored_layer(spark, layers, spec.daily_table, layers.daily), spec)
     return {
-        spec.history_table: write_days(versions, layers.history, spec.event_day, counts=current)
+        spec.history_table: write_days(versions, layers.history, spec.event_day, counts=current, key=spec.key)
     }
 
 
@@ -124,4 +153,4 @@ def run_layers(spark: SparkSession, base_path: str, spec: EntitySpec) -> LayerRu
     counts |= build_timeline(spark, layers)
     counts |= build_daily(spark, layers)
     counts |= build_history(spark, layers)
-    return LayerRun(_stored(spark, layers, spec.history_table, layers.history), counts)
+    return LayerRun(stored_layer(spark, layers, spec.history_table, layers.history), counts)

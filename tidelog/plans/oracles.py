@@ -7,7 +7,7 @@ with windows, none of which the Spark plans for the history do.
 from __future__ import annotations
 
 from tidelog.functions.fingerprint import NULL_TEXT, SEPARATOR
-from tidelog.plans.queries import AS_OF, FULFILLED, RANKED_YEAR, SILENT
+from tidelog.plans.queries import AS_OF, FULFILLED, ONE_KEY, RANKED_YEAR, SILENT, UNDATED_EACH
 from tidelog.plans.tables import USER, USER_GMV
 
 _OWNED = ", ".join(USER.owned_columns)
@@ -19,11 +19,11 @@ _CONTENT = ", ".join(
 )
 
 
-def _events(where: str = "TRUE") -> str:
+def _events(where: str = "TRUE", time: str = "ts") -> str:
     return f"""
 delivered AS (
-    SELECT date_trunc('hour', ts) AS event_time,
-           CAST(ts AS DATE) AS event_day,
+    SELECT date_trunc('hour', {time}) AS event_time,
+           CAST({time} AS DATE) AS event_day,
            user_id AS entity,
            event_type AS source,
            CAST(value AS DECIMAL(18,2)) AS money,
@@ -51,7 +51,7 @@ deduplicated AS (SELECT DISTINCT * FROM hashed),
 latest AS (
     SELECT * FROM deduplicated
     QUALIFY row_number() OVER (PARTITION BY entity, source, event_day
-                               ORDER BY event_time DESC, event_hash DESC) = 1
+                               ORDER BY event_time DESC NULLS LAST, event_hash DESC) = 1
 )"""
 
 
@@ -70,7 +70,7 @@ filled AS (
     FROM (SELECT {_KEYS}, event_hash,
            {_BLOCKS}
           FROM latest
-          WINDOW so_far AS (PARTITION BY entity ORDER BY event_time, event_hash
+          WINDOW so_far AS (PARTITION BY entity ORDER BY event_time NULLS FIRST, event_hash
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 ),
 spoken AS (
@@ -78,14 +78,14 @@ spoken AS (
     FROM latest GROUP BY entity, event_day
 ),
 daily AS (
-    SELECT {_DAILY}, event_hash, day_sources
-    FROM filled JOIN spoken USING (entity, event_day)
-    QUALIFY row_number() OVER (PARTITION BY entity, event_day
-                               ORDER BY event_time DESC, event_hash DESC) = 1
+    SELECT filled.*EXCLUDE (source), day_sources
+    FROM filled JOIN spoken ON spoken.entity = filled.entity AND spoken.event_day IS NOT DISTINCT FROM filled.event_day
+    QUALIFY row_number() OVER (PARTITION BY filled.entity, filled.event_day
+                               ORDER BY event_time DESC NULLS LAST, event_hash DESC) = 1
 ),
 ended AS (
     SELECT *, event_day AS valid_from,
-           CAST(lead(event_day) OVER (PARTITION BY entity ORDER BY event_day)
+           CAST(lead(event_day) OVER (PARTITION BY entity ORDER BY event_day NULLS FIRST)
                 - INTERVAL 1 DAY AS DATE) AS valid_to
     FROM daily
 ),
@@ -116,14 +116,19 @@ _NAMED = f"coalesce(segment, '{USER_GMV.missing_segment}')"
 _HISTORY = _on_history("SELECT * FROM history")
 
 
-def _past_frozen() -> str:
-    """Both histories as subqueries with their own steps, then their differences each way."""
+_UNDATED = f"""CASE WHEN event_type <> 'signup'
+                OR coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) % {UNDATED_EACH}, 1) <> 0 THEN ts END"""
+
+
+def _past_frozen(time: str = "ts") -> str:
+    """Both histories as subqueries with their own steps, then their differences each way. Events without a time are
+    known from the beginning."""
 
     def versions(events: str, where: str) -> str:
         return f"(WITH {events},{_STATES} SELECT {_VERSION} FROM history WHERE {where})"
 
-    then = versions(_events(f"CAST(ts AS DATE) <= DATE '{AS_OF}'"), "TRUE")
-    now = versions(_events(), f"valid_from <= DATE '{AS_OF}'")
+    then = versions(_events(f"coalesce(CAST({time} AS DATE) <= DATE '{AS_OF}', TRUE)", time), "TRUE")
+    now = versions(_events(time=time), f"coalesce(valid_from <= DATE '{AS_OF}', TRUE)")
     return f"""SELECT CAST((SELECT count(*) FROM (SELECT * FROM {then} EXCEPT ALL SELECT * FROM {now}))
           + (SELECT count(*) FROM (SELECT * FROM {now} EXCEPT ALL SELECT * FROM {then}))
        AS BIGINT) AS violations"""
@@ -212,4 +217,18 @@ FROM (SELECT valid_to, lead(valid_from) OVER (PARTITION BY entity ORDER BY valid
 WHERE following IS NOT NULL AND following IS DISTINCT FROM valid_to + 1"""
     ),
     "check_past_frozen": _past_frozen(),
+    "check_past_frozen_undated": _past_frozen(_UNDATED),
+    "gmv_asof_levels": _gmv(_IN_FORCE, _NAMED),
+    "state_of_one_key": _on_history(f"SELECT * FROM history WHERE entity = {ONE_KEY} AND {_IN_FORCE}"),
+    "late_events_repaired": _HISTORY,
+    "history_published": _HISTORY,
+    "chain_counts": _on_history(
+        """SELECT 'stacked' AS stage, count(*) AS n FROM log
+UNION ALL SELECT 'deduplicated', count(*) FROM deduplicated
+UNION ALL SELECT 'latest', count(*) FROM latest
+UNION ALL SELECT 'daily', count(*) FROM daily
+UNION ALL SELECT 'versions', count(*) FROM history
+UNION ALL SELECT 'current', count(*) FROM history WHERE is_current
+UNION ALL SELECT 'days of ' || source, count(DISTINCT event_day) FROM log GROUP BY source"""
+    ),
 }

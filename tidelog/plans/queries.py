@@ -24,12 +24,14 @@ from tidelog.operators.state import (
 from tidelog.operators.timeline import (
     drop_resent,
     latest_per_source_day,
-    unify,
     union_sources,
     with_fingerprint,
 )
 from tidelog.plans.history import check_past_frozen, history_of
-from tidelog.plans.layers import Layers, run_layers
+from tidelog.plans.layers import Layers, build_daily, build_history, run_layers, stored_layer
+from tidelog.plans.levels import as_of_levels, read_levels, write_levels
+from tidelog.plans.publish import publish, read_published
+from tidelog.plans.refresh import refresh_layers
 from tidelog.plans.sql import (
     gmv_as_of_sql,
     gmv_current_sql,
@@ -39,23 +41,28 @@ from tidelog.plans.sql import (
     top_products_sql,
 )
 from tidelog.plans.tables import (
+    FEEDS,
     USER,
     USER_GMV,
     change_feeds,
     change_log,
+    feed_tables,
     lines_as_items,
     lines_as_purchases,
     orders_as_purchases,
 )
 from tidelog.session import shared_folder
-from tidelog.sources.events import MALFORMED, typed_events, with_event_day
-from tidelog.sources.tables import read_table, start_together, write_days
+from tidelog.sources.events import MALFORMED, REASON, typed_events, with_event_day
+from tidelog.sources.feeds import all_feeds
+from tidelog.sources.tables import DAYS, read_table, start_together, write_days
 
 AS_OF = dt.date(2024, 1, 15)
 REFRESHED = dt.date(2024, 1, 15)
 EMPTIED = dt.date(1900, 1, 1)
 RANKED_YEAR = 1997
 SILENT = "signup"
+ONE_KEY = 7
+UNDATED_EACH = 5
 FULFILLED = "F"
 MONEY = "decimal(28,2)"
 
@@ -94,7 +101,7 @@ def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = shared_folder(spark, "csv_typed_scan")
     _deliver_raw(spark, sf_dir, raw)
     feeds = typed_events(spark, raw, USER)
-    return union_sources({name: feed.drop(MALFORMED) for name, feed in feeds.items()}, USER)
+    return union_sources({name: feed.drop(MALFORMED, REASON) for name, feed in feeds.items()}, USER)
 
 
 def cdc_typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +119,9 @@ def cdc_union_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unified_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify(change_feeds(spark, sf_dir), USER)
+    """The feeds of a split log, stacked by one scan."""
+    stacked = all_feeds(spark, feed_tables(spark, sf_dir), USER)
+    return latest_per_source_day(with_fingerprint(stacked, USER), USER)
 
 
 def dedup_resent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +177,7 @@ def gmv_daily_null_group_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as a table by day, read back."""
     path, history = shared_folder(spark, USER.history_table), _history(spark, sf_dir)
-    write_days(history, path, USER.event_day)
+    write_days(history, path, USER.event_day, key=USER.key)
     return read_table(spark, path, history.schema, USER.event_day)
 
 
@@ -181,6 +190,54 @@ def gmv_asof_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(gmv_as_of(_stored_history(spark, sf_dir), USER, USER_GMV, AS_OF), GMV_VALUE)
 
 
+def gmv_asof_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads three cells at each level of interval length."""
+    path, history = shared_folder(spark, "history_levels"), _history(spark, sf_dir)
+    write_levels(history, path, USER)
+    in_force = as_of_levels(read_levels(spark, path, history.schema), USER, AS_OF)
+    return _money(gmv_as_of(in_force, USER, USER_GMV, AS_OF), GMV_VALUE)
+
+
+def state_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of one user on a day, looked up in the stored history."""
+    return _flat(as_of(_stored_history(spark, sf_dir).where(F.col(USER.key) == ONE_KEY), USER, AS_OF))
+
+
+def _built(spark: SparkSession, base: str, log: DataFrame) -> Layers:
+    """Timeline, daily states and history of a log, stored."""
+    layers = Layers(base, USER)
+    timeline = latest_per_source_day(with_fingerprint(log, USER), USER)
+    write_days(timeline, layers.timeline, USER.event_day)
+    build_daily(spark, layers)
+    build_history(spark, layers)
+    return layers
+
+
+def late_events_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored history of all but the purchases of one day, which then come late."""
+    log = change_log(spark, sf_dir)
+    late = (F.col(USER.source_tag) == "purchase") & (F.col(USER.event_day) == F.lit(REFRESHED))
+    layers = _built(spark, shared_folder(spark, "late_events"), log.where(~F.coalesce(late, F.lit(False))))
+    refresh_layers(spark, layers, log.where(late))
+    return _flat(stored_layer(spark, layers, USER.history_table, layers.history))
+
+
+def history_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, history = shared_folder(spark, "published"), _history(spark, sf_dir)
+    publish(history, path, USER)
+    return _flat(read_published(spark, path, history.schema, USER))
+
+
+def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after each stage and days of each feed, as the chain observed them while it wrote."""
+    base = shared_folder(spark, "chain_counts")
+    _deliver_raw(spark, sf_dir, Layers(base, USER).raw)
+    run = run_layers(spark, base, USER)
+    counted = [(stage, n) for stage, n in run.stage_counts(USER).items()]
+    counted += [(f"days of {name}", run.counts[f"bronze/{name}"][DAYS]) for name in FEEDS]
+    return spark.createDataFrame(counted, "stage STRING, n BIGINT")
+
+
 def counts_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_counts(_hashed(spark, sf_dir), USER)
 
@@ -249,7 +306,19 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def past_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_past_frozen(change_log(spark, sf_dir), USER, AS_OF)
+    return check_past_frozen(change_log(spark, sf_dir), USER, AS_OF, then=_history(spark, sf_dir, AS_OF))
+
+
+def _partly_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with the times of some sign-ups lost."""
+    lost = (F.col(USER.source_tag) == "signup") & (F.col("signup_code") % UNDATED_EACH == 0)
+    return change_log(spark, sf_dir).withColumns(
+        {c: F.when(~F.coalesce(lost, F.lit(False)), F.col(c)) for c in (USER.event_time, USER.event_day)}
+    )
+
+
+def past_frozen_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_past_frozen(_partly_undated(spark, sf_dir), USER, AS_OF)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -285,4 +354,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_one_current": one_current,
     "check_intervals": intervals,
     "check_past_frozen": past_frozen,
+    "check_past_frozen_undated": past_frozen_undated,
+    "gmv_asof_levels": gmv_asof_levels,
+    "state_of_one_key": state_of_one_key,
+    "late_events_repaired": late_events_repaired,
+    "history_published": history_published,
+    "chain_counts": chain_counts,
 }

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.config import EntitySpec, MetricSpec, SourceSpec
+from tidelog.session import shared_folder
+from tidelog.sources.feeds import one_feed, split_feeds
 
 _KEYS = {"event_time": "TIMESTAMP_NTZ", "event_day": "STRING", "entity": "BIGINT"}
 
@@ -95,24 +97,23 @@ def _delivered(facts: DataFrame) -> DataFrame:
 
 
 def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One frame per feed with only the columns that feed delivers."""
-    facts = _facts(spark, sf_dir)
-    return {
-        name: _delivered(facts.filter(F.col("event_type") == name)).select(
-            "event_time",
-            "event_day",
-            "entity",
-            *[value.alias(column) for column, value in said.items()],
-        )
-        for name, said in _said().items()
-    }
+    """One frame per feed with only the columns that feed delivers, each from a table of its own. ``events`` is read once,
+    to split it."""
+    path = feed_tables(spark, sf_dir)
+    return {source.name: one_feed(spark, path, USER, source) for source in USER.sources}
+
+
+def feed_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with a table for each feed."""
+    path = shared_folder(spark, "feeds")
+    split_feeds(change_log(spark, sf_dir), path, USER)
+    return path
 
 
 def change_log(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
     """The stacked feeds in one scan: same rows as the union of :func:`change_feeds`.
 
-    As the feeds share a table here, stacking them by filter would read it once per feed. An event type that no
-    feed has is an error. ``until`` leaves events after that day in the scan; undated ones stay.
+    An event type that no feed has is an error. ``until`` leaves events after that day in the scan; undated ones stay.
     """
     tag = F.col("event_type")
     columns = [
