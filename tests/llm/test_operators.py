@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -128,6 +129,17 @@ def test_tokens_and_pieces_agree_with_the_library(spark, documents, edges):
     assert decoded == dict(texts_of(documents))
 
 
+def test_pieces_of_odd_characters_agree_with_the_library(spark):
+    """Ids and decoded texts, where chunks hold markers, control and unknown characters, and what looks like a special piece."""
+    dice = random.Random(8)
+    parts = ["▁", " ", "  ", "a", "the", "<0x41>", "<unk>", "<s>", "\u2047", "\0", "\n", "\t", "é", "\U0001f600", "\u200b", "\ufeff", "東京", "\ue000", "𓀀", "ab"]
+    texts = ["".join(dice.choices(parts, k=dice.randint(0, 12))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: (r.ids, r.decoded) for r in encode(docs, MODEL, keep=["doc_id"]).collect()}
+    assert got == {i: (ids := model.encode(text), model.decode(ids)) for i, text in enumerate(texts)}
+
+
 def test_secrets_in_layers():
     plain = 'token = "abcdefghijkl123"'
     assert secrets(plain)[1] == [("assign", 0, 24)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,17 +52,31 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Return free memory of this worker to the system, as far as its allocators know how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """Apply a function to every Arrow batch, a few rows at a time, so that what a task holds as Python objects
-    stays small. ``start`` makes the function once per task, with what it needs to load."""
+    stays small. ``start`` makes the function once per task, with what it needs to load. Workers live on after a task, so
+    what it held is given back to the system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
-        for batch in batches:
-            for start_row in range(0, batch.num_rows, _ROWS_AT_A_TIME):
-                yield apply(batch.slice(start_row, _ROWS_AT_A_TIME))
+        try:
+            for batch in batches:
+                for start_row in range(0, batch.num_rows, _ROWS_AT_A_TIME):
+                    yield apply(batch.slice(start_row, _ROWS_AT_A_TIME))
+        finally:
+            del apply
+            _give_back()
 
     return df.mapInArrow(run, schema)
 

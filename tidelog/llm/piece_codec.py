@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,17 +28,45 @@ def _entry(model):
     return derive
 
 
+def _compact(model):
+    """Ids of a chunk as bytes. What they decode to is kept only where it is not the chunk itself with spaces for markers."""
+    lead = [model.piece_to_id(MARK), model.piece_to_id("a")]
+
+    def derive(ids: list[int]) -> bytes | tuple[bytes, str]:
+        packed, decoded = np.array(ids, np.int32).tobytes(), model.decode(lead + ids)[1:]
+        plain = "".join([model.id_to_piece(i) for i in ids]).replace(MARK, " ")
+        return packed if plain == decoded else (packed, decoded)
+
+    return derive
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``ids array<int>`` and ``decoded``, row by row.
 
-    NULL and empty texts have no ids and decode to the empty text.
+    NULL and empty texts have no ids and decode to the empty text. Long texts are held as their ids and their chunks.
     """
 
-    def make(rows: list[list[tuple]]) -> dict[str, pa.Array]:
-        ids = [[int(i) for e in row for i in e[0].split(",")] for row in rows]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(map(_decoded, rows), pa.string())}
+    def start():
+        model = load(model_path)
+        table = ChunkTable(model, _compact(model))
+
+        def one(text: str | None) -> tuple[bytes, str]:
+            chunks = chunks_of(text)
+            entries = [table[c] for c in chunks]
+            if all([type(e) is bytes for e in entries]):
+                return b"".join(entries), (text or "").replace(MARK, " ")
+            parts = [(e, c.replace(MARK, " ")) if type(e) is bytes else e for e, c in zip(entries, chunks, strict=True)]
+            return b"".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]
+
+        def apply(texts: list) -> dict[str, pa.Array]:
+            packed, decoded = zip(*map(one, texts), strict=True)
+            ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            return {"ids": ids, "decoded": pa.array(decoded, pa.string())}
+
+        return apply
 
-    return map_texts(docs, _segmenting(model_path, make), "ids array<int>, decoded string", text_col, keep)
+    return map_texts(docs, start, "ids array<int>, decoded string", text_col, keep)
 
 
 def digests(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
