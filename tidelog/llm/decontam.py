@@ -1,33 +1,41 @@
 """Benchmark decontamination by SimHash windows, in DataFrame operations only.
 
-Every benchmark item has a SimHash of its words (64 bits, a word counts as often as it occurs). A text's
-windows have the length of an item and lie where an item's shingle occurs at the same offset; a window
-without any shingle of an item has similarity 0 with it, so it is never needed, and texts without such a
-shingle are left in the scan. A window is compared with every item of its length that shares a shingle with
-it, by exact similarity of shingles weighted by how often they occur: the sum of smaller counts over the sum
-of larger ones. The distance of the fingerprints is reported but decides nothing, as no small distance holds for all
-windows of a similarity.
-
-The benchmark is the query set. Its shingles go to the scan as literals, ``per_pass`` at most at a time;
-a larger benchmark takes more passes. Texts are not shuffled, only windows are.
+1. Every benchmark item has a SimHash of its words (64 bits, a word counts as often as it occurs).
+2. A text's windows have the length of an item and lie where one of the item's shingles occurs at the same offset; a
+   window without any shingle of an item has similarity 0 with it, so it is never needed. Shingles of texts pass a Bloom filter
+   of bounded size in the scan, and those that pass are joined with the items' own, so the texts are read once whatever the
+   size of the benchmark. Equal windows are one from here on, so a passage in many documents costs no more than in one.
+3. Fingerprints of windows and of items are cut into blocks. Two that differ in ``radius`` bits at most differ in
+   ``radius // blocks`` bits at most in one of the blocks, so items are entered under every value that near to their own in
+   every block, and a window that looks up its blocks meets all items of its length within the radius.
+4. Candidates within the radius are verified by their exact similarity of shingles weighted by how often they occur: the sum of
+   smaller counts over the sum of larger ones.
+
+Texts are not shuffled, only windows are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.bloom import bloom_of
 from tidelog.llm.common import settled
 
 
 @dataclass(frozen=True)
 class Decontam:
+    """``radius`` in bits of 64, looked up by ``blocks``. A shingle of more than ``common`` items starts no window for an item
+    that has rarer ones enough. ``filter_words`` bounds the Bloom filter, in words of 64 bits."""
+
     words: int = 5
     percent: int = 80
-    per_pass: int = 20_000
+    radius: int = 18
+    blocks: int = 5
+    common: int = 64
+    filter_words: int = 1 << 16
 
 
 #: Scripts without spaces between words: each character is a word, with its marks.
@@ -72,6 +80,41 @@ def _similarity(a: str, b: str) -> Column:
     return total(F.least) / total(F.greatest)
 
 
+def _cuts(spec: Decontam) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    edges = [64 * i // spec.blocks for i in range(spec.blocks + 1)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def _block_values(hash_: str, spec: Decontam) -> Column:
+    """The blocks of a fingerprint, in order."""
+    return F.array(*[F.shiftrightunsigned(hash_, a).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for a, width in _cuts(spec)])
+
+
+def _near_values(hash_: str, spec: Decontam) -> Column:
+    """For each block the values that differ from the fingerprint's in few enough bits."""
+
+    def near(i: int, width: int) -> Column:
+        flips = [x for x in range(1 << width) if x.bit_count() <= spec.radius // spec.blocks]
+        return F.expr(f"transform(array({', '.join(f'{x}L' for x in flips)}), x -> x ^ _b[{i}])")
+
+    return F.array(*[near(i, width) for i, (_, width) in enumerate(_cuts(spec))])
+
+
+def _seeds(items: DataFrame, spec: Decontam) -> DataFrame:
+    """``(shingle, length, offset)`` where windows start.
+
+    A window of the wanted similarity has shingles in common with the item that weigh at least that share of the item's.
+    So the most common shingles of an item can be left out, as long as they weigh less than that together.
+    """
+    places = items.select("item", "length", F.size("item_shingles").alias("n"), F.posexplode("item_shingles").alias("offset", "shingle"))
+    owners = places.groupBy("shingle").agg(F.countDistinct("item").alias("owners"))
+    hottest = Window.partitionBy("item").orderBy(F.desc("owners"), "shingle", "offset").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = places.join(owners, "shingle").withColumn("left_out", F.count("*").over(hottest))
+    spared = (F.col("owners") > spec.common) & (F.col("left_out") * 100 < spec.percent * F.col("n"))
+    return ranked.where(~spared).select("shingle", "length", "offset").distinct()
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -82,11 +125,12 @@ def contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """``(id, item, start, n_words, hamming, similarity)``: for every text and item with a window of similarity
-    ``percent`` or more, the best window (the first of equals), in words. Ids keep their names.
+    ``percent`` or more whose fingerprint is within the radius, the best window (the first of equals), in words. Ids keep
+    their names.
 
     NULL and empty texts match nothing, nor do items without a word. An item of fewer than ``words`` words is one
     shingle, found where all its words stand in a row. A window that would reach over an end of the text is moved inside, and is the whole
-    text if that is shorter than the item. Rows that repeat an id are looked at one by one and reported
+    text if that is shorter than the item. Long texts are looked at whole. Rows that repeat an id are looked at one by one and reported
     once; rows without an id are reported under NULL. Other columns are not read.
     """
     k = spec.words
@@ -95,53 +139,51 @@ def contaminated(
         .where(F.size("w") > 0)
         .select("item", "w", F.size("w").alias("length"), _shingles("w", k).alias("item_shingles"), _simhash("w").alias("item_hash"))
     )
-    items = settled(items)
-    places = settled(items.select("item", "length", F.posexplode("item_shingles").alias("offset", "shingle")))
-    # The benchmark is the query set: its shingles, not the texts', come to the driver.
-    known = sorted({row[0] for row in places.select("shingle").distinct().toLocalIterator()})
-    passes = [known[i : i + spec.per_pass] for i in range(0, len(known), spec.per_pass)] or [[]]
+    items = settled(items.withColumn("nth", F.monotonically_increasing_id()))
+    seeds = settled(_seeds(items.drop("item").withColumnRenamed("nth", "item"), spec))
+    passes = bloom_of(seeds.select("shingle").distinct(), spec.filter_words).passes("h")
+    longest = items.agg(F.max("length")).first()[0] or 0
     short = sorted(row[0] for row in items.where(F.col("length") < k).select("length").distinct().collect())  # under k rows
     # The row number keeps the optimizer from moving a step into a function that runs per element, or a
     # filter below it: either would compute the words again for every element.
     texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _word_hashes(text_col).alias("w"))
     texts = texts.select("id", "row", "w", _shingles("w", k, k).alias("s"), *[_shingles("w", n, n).alias(f"s{n}") for n in short])
 
-    def windows(part: list[int]) -> DataFrame:
-        wanted = ",".join(f"{x}L" if x > -(2**63) else "(-9223372036854775807L-1)" for x in part) or "NULL"
-        hit = "filter(transform({0}, (h, i) -> IF(h IN ({1}){2}, struct(h AS shingle, i AS at), NULL)), x -> x IS NOT NULL)"
-        # All windows of a short item are alike: the first is the best.
-        first = [hit.format(f"s{n}", wanted, f" AND array_position(s{n}, h) = i + 1") for n in short]
-        hits = F.expr(f"concat({', '.join([hit.format('s', wanted, ''), *first])})")
-        found = texts.select("id", "row", "w", hits.alias("hits"))
-        found = found.select("id", "row", "w", F.explode("hits").alias("hit"))
-        found = found.select("id", "row", "w", "hit.shingle", "hit.at")
-        # per_pass bounds this side: a shingle has a row for every item that has it, of the same pass.
-        offsets = F.broadcast(places.where(F.expr(f"shingle IN ({wanted})")))
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("w") - F.col("length")))
-        return (
-            found.join(offsets, "shingle")
-            .select("id", "row", start.alias("start"), "length", F.slice("w", start + 1, F.col("length")).alias("w"))
-            .distinct()
-        )
-
-    found = reduce(DataFrame.union, [windows(part) for part in passes])
-    prints = found.select("id", "start", "w", "length", _simhash("w").alias("hash"), _shingles("w", k).alias("s"))
-    prints = settled(prints.withColumn("window", F.monotonically_increasing_id()))
-    # The shingles are numbers, so pairs are found without the windows' words.
-    shared = (
-        prints.select("window", "length", F.explode(F.array_distinct("s")).alias("shingle"))
-        .join(places.select("shingle", "length", "item").distinct(), ["shingle", "length"])
-        .select("window", "item")
+    hit = "filter(transform({0}, (h, i) -> IF({1}{2}, struct(h AS shingle, i AS at), NULL)), x -> x IS NOT NULL)"
+    # All windows of a short item are alike: the first is the best.
+    first = [hit.format(f"s{n}", passes, f" AND array_position(s{n}, h) = i + 1") for n in short]
+    hits = F.expr(f"concat({', '.join([hit.format('s', passes, ''), *first])})")
+    found = texts.select("id", "row", "w", hits.alias("hits"))
+    found = found.select("id", "row", "w", F.explode("hits").alias("hit"))
+    # Around a hit as many words as any window there can have.
+    low = F.greatest(F.col("hit.at") - longest, F.lit(0))
+    found = found.select("id", "row", F.size("w").alias("n"), "hit.shingle", "hit.at", low.alias("low"), F.slice("w", low + 1, 2 * longest + k).alias("near"))
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("length")))
+    found = (
+        found.join(seeds, "shingle")
+        .select("id", "row", start.alias("start"), "length", F.slice("near", start - F.col("low") + 1, F.col("length")).alias("w"))
         .distinct()
     )
+    found = settled(found)
+    windows = settled(found.select("length", "w").distinct().withColumn("window", F.monotonically_increasing_id()))
+    prints = settled(windows.select("window", "length", _simhash("w").alias("hash"), _shingles("w", k).alias("s")))
+
+    looked_up = prints.select("window", "length", F.posexplode(_block_values("hash", spec)).alias("block", "value"))
+    entered = items.select("nth", "length", "item_hash", _block_values("item_hash", spec).alias("_b"))
+    entered = entered.select("nth", "length", F.posexplode(_near_values("item_hash", spec)).alias("block", "values"))
+    entered = entered.select("nth", "length", "block", F.explode("values").alias("value"))
+    met = looked_up.join(entered, ["length", "block", "value"]).select("window", "nth").distinct()
     hamming = F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash")))
-    candidates = prints.join(shared, "window").join(items.select("item", "item_shingles", "item_hash"), "item")
-    similar = candidates.select(
-        "id", "item", "start", F.size("w").alias("n_words"), hamming.alias("hamming"), _similarity("s", "item_shingles").alias("similarity")
-    ).where(F.col("similarity") * 100 >= spec.percent)
+    candidates = met.join(prints.drop("length"), "window").join(items.select("nth", "item", "item_shingles", "item_hash"), "nth")
+    candidates = candidates.withColumn("hamming", hamming).where(F.col("hamming") <= spec.radius)
+    similar = candidates.select("window", "item", "hamming", _similarity("s", "item_shingles").alias("similarity"))
+    similar = settled(similar.where(F.col("similarity") * 100 >= spec.percent))
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return (
-        similar.groupBy("id", "item")
+        found.select("id", "start", "length", F.size("w").alias("n_words"), "w")
+        .join(windows, ["length", "w"])
+        .join(similar, "window")
+        .groupBy("id", "item")
         .agg(best.alias("best"))
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.*")
     )
