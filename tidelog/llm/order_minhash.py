@@ -3,11 +3,14 @@
 Marcais and others, "Locality-sensitive hashing for the edit distance" (2019). A text is a sequence of tokens
 (a word of up to 16 characters with the white space behind it; of a longer run each character before the last 16),
 its k-mers are ``k`` tokens in a row. Where tokens begin depends on the 16 characters ahead only, so an edit changes
-none further on. Equal k-mers are told apart by their occurrence number. The numbered k-mers are dealt into ``slots`` by
-their hash; of each slot those with the ``keep`` smallest hashes are selected, put back in text order, and
-hashed as a tuple. Two texts agree in a slot if they select the same k-mers in the same order, so the share of
-equal slots falls with the edit distance, and moving passages lowers it as well. Dealing k-mers into slots
-takes one hash per k-mer instead of one per k-mer and slot.
+none further on. Equal k-mers are told apart by their occurrence number. The numbered k-mers are put on a circle by
+their hash, on which each of 64 slots has its own starting point; a slot selects the ``keep`` k-mers that come next from there, puts them
+back in text order, and hashes them as a tuple. Two texts agree in a slot if they select the same k-mers in the same order, so
+the share of equal slots falls with the edit distance, and moving passages lowers it as well.
+
+Which k-mers come next from a point is as random as which have the smallest hashes under a function of the slot's own, so each slot agrees
+with the same probability, whatever the length of the texts. One hash per k-mer serves all slots, though, instead of one
+per k-mer and slot: slots of a short text often select the same k-mers, and its likeness varies more.
 
 Hashes and positions are packed into numbers, so that sorting an array of numbers is all it takes to bring equal
 k-mers together and to select the smallest: top bits decide, the lowest 28 bits are the position.
@@ -36,7 +39,7 @@ class OrderMinHash:
 
 
 def _sketch(df: DataFrame, text: str, out: str, spec: OrderMinHash) -> DataFrame:
-    """``df`` with column ``out``: for each slot in use, slot number (upper half) and hash of its tuple.
+    """``df`` with column ``out``: for each slot, slot number (upper half) and hash of its tuple; nothing for an empty text.
 
     Each step is a column of its own. The row number keeps the optimizer from merging steps: it would put one
     step inside a function that runs per element, and compute it for every element.
@@ -48,6 +51,8 @@ def _sketch(df: DataFrame, text: str, out: str, spec: OrderMinHash) -> DataFrame
     df = df.withColumn("_row", F.monotonically_increasing_id())
     own = df.columns
     df = df.select(*own, token.alias("_t"))
+    too_long = F.raise_error(F.lit(f"a text of {1 << _POSITION_BITS} tokens or more has no fingerprint"))
+    df = df.select(*own, F.when(F.size("_t") < 1 << _POSITION_BITS, F.col("_t")).otherwise(too_long.cast("array<bigint>")).alias("_t"))
     # A text of fewer than k tokens is one k-mer; an empty one has none.
     kmer = F.expr(f"transform(sequence(0, greatest(size(_t) - {k}, 0)), i -> xxhash64({', '.join(f'get(_t, i + {j})' for j in range(k))}))")
     df = df.select(*own, F.when(F.size("_t") > 0, kmer).otherwise(F.expr("CAST(array() AS array<bigint>)")).alias("_k"))
@@ -62,28 +67,31 @@ def _sketch(df: DataFrame, text: str, out: str, spec: OrderMinHash) -> DataFrame
         f"zip_with(_s, _n, (x, n) -> (xxhash64(shiftright(x, {_POSITION_BITS}), n) & {~mask}L) | (x & {mask}L))"
     )
     df = df.select(*own, "_k", F.sort_array(dealt).alias("_d"))
+    # The hashes are a circle, a slot starts at a point of it and selects the next ``keep`` from there on. Slots with no
+    # hash of their own select what the next one does, so there are as many tuples as slots with one.
     slot = 64 - _SLOT_BITS
-    chosen = F.expr(
-        f"filter(_d, (x, i) -> i < {keep} OR shiftright(get(_d, i - {keep}), {slot}) != shiftright(x, {slot}))"
-    )
-    df = df.select(*own, "_k", chosen.alias("_c"))
-    # One entry per slot: the positions of its k-mers in text order, then the k-mers themselves.
-    first = f"i = 0 OR shiftright(get(_c, i - 1), {slot}) != shiftright(x, {slot})"
-    in_order = f"sort_array(transform(filter(slice(_c, i + 1, {keep}), y -> shiftright(y, {slot}) = shiftright(x, {slot})), y -> y & {mask}L))"
-    value = f"xxhash64(transform({in_order}, p -> get(_k, CAST(p AS int))))"
-    entry = f"shiftleft(shiftright(x, {slot}), 32) | ({value} & 4294967295L)"
-    sketch = F.expr(f"filter(transform(_c, (x, i) -> IF({first}, {entry}, NULL)), v -> v IS NOT NULL)")
+    first = f"i = 0 OR shiftright(get(_d, i - 1), {slot}) != shiftright(x, {slot})"
+    df = df.select(*own, "_k", "_d", F.expr(f"filter(transform(_d, (x, i) -> IF({first}, i, NULL)), i -> i IS NOT NULL)").alias("_f"))
+    selected = f"transform(sequence(0, least({keep}, size(_d)) - 1), j -> get(_d, (i + j) % size(_d)) & {mask}L)"
+    value = f"xxhash64(transform(sort_array({selected}), p -> get(_k, CAST(p AS int)))) & 4294967295L"
+    df = df.select(*own, "_d", "_f", F.expr(f"transform(_f, i -> {value})").alias("_v"))
+    low, high = -(1 << _SLOT_BITS - 1), (1 << _SLOT_BITS - 1) - 1
+    at = f"CAST(shiftright(get(_d, get(_f, {{}})), {slot}) AS int)"
+    own_slots = f"flatten(transform(_v, (v, t) -> array_repeat(v, {at.format('t')} - coalesce({at.format('t - 1')}, {low - 1}))))"
+    around = f"array_repeat(get(_v, 0), {high} - {at.format('size(_f) - 1')})"
+    every = f"transform(concat({own_slots}, {around}), (v, j) -> shiftleft(CAST(j + {low} AS bigint), 32) | v)"
+    sketch = F.expr(f"IF(size(_d) > 0, {every}, CAST(array() AS array<bigint>))")
     return df.select(*own, sketch.alias(out)).drop("_row")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of equal slots among those that either sketch uses; 1 if neither does."""
+    """Share of equal slots; 1 if both texts are empty, 0 if one of them is."""
     used = F.size(F.expr(f"array_union(transform({a}, v -> shiftright(v, 32)), transform({b}, v -> shiftright(v, 32)))"))
     return F.when(used > 0, F.size(F.array_intersect(a, b)) / used).otherwise(F.lit(1.0))
 
 
 def as_text(sketch: str) -> Column:
-    """Ten hex digits per slot in use: two of the slot, eight of the tuple."""
+    """Ten hex digits per slot: two of the slot, eight of the tuple."""
     shift = (1 << (_SLOT_BITS - 1)) << 32  # slots are signed
     return F.expr(f"array_join(transform({sketch}, v -> lpad(lower(hex(v + {shift}L)), 10, '0')), '')")
 
