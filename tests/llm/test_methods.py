@@ -1,0 +1,171 @@
+"""That operators do what their methods say, against plain Python: Order MinHash by definition, SimHash windows by brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidelog.llm import order_minhash
+from tidelog.llm.decontam import Decontam, contaminated
+
+TOKEN = re.compile(r"\S{1,16}+(?!\S)\s*|\S|\s+")
+LENGTHS = (20, 40, 80, 160, 400)
+EACH = 12
+
+
+# Order MinHash
+
+
+def numbered(text: str, k: int = 3) -> list[tuple]:
+    tokens = TOKEN.findall(text)
+    seen: Counter = Counter()
+    out = []
+    for i in range(max(len(tokens) - k + 1, 1)):
+        kmer = tuple(tokens[i : i + k])
+        seen[kmer] += 1
+        out.append((kmer, seen[kmer]))
+    return out
+
+
+def by_definition(a: str, b: str, slots: int = 400, keep: int = 2) -> float:
+    """Share of hash functions under which both texts' smallest numbered k-mers are the same in the same order."""
+
+    def tuples(text: str) -> list[tuple]:
+        marked = numbered(text)
+        hashes = np.array([[xxhash.xxh64_intdigest(repr(m), seed=s) for m in marked] for s in range(slots)], np.uint64)
+        chosen = np.sort(np.argsort(hashes, axis=1)[:, :keep], axis=1)
+        return [tuple(marked[p][0] for p in row) for row in chosen]
+
+    return float(np.mean([x == y for x, y in zip(tuples(a), tuples(b), strict=True)]))
+
+
+def edits(words: list[str]) -> dict[str, list[str]]:
+    half, tens = len(words) // 2, [words[i : i + 10] for i in range(0, len(words), 10)]
+    return {
+        "halves swapped": words[half:] + words[:half],
+        "blocks reversed": [w for block in reversed(tens) for w in block],
+        "a word replaced": [*words[:half], "other", *words[half + 1 :]],
+        "a word inserted": [*words[:half], "other", *words[half:]],
+    }
+
+
+def test_likeness_is_that_of_order_minhash_whatever_the_length(spark):
+    dice = random.Random(3)
+    rows, wanted = [], {}
+    for length in LENGTHS:
+        for trial in range(EACH):
+            words = [f"w{dice.randrange(10_000)}" for _ in range(length)]
+            text = " ".join(words)
+            for edit, changed in edits(words).items():
+                other = " ".join(changed)
+                rows.append((length, edit, text, other))
+                if trial < 3:
+                    wanted.setdefault((length, edit), []).append(by_definition(text, other))
+    pairs = spark.createDataFrame(rows, "length INT, edit STRING, a STRING, b STRING").withColumn("doc_id", F.monotonically_increasing_id())
+    a = order_minhash.fingerprints(pairs, text_col="a").withColumnRenamed("sketch", "x")
+    b = order_minhash.fingerprints(pairs, text_col="b").withColumnRenamed("sketch", "y")
+    near = pairs.join(a, "doc_id").join(b, "doc_id").groupBy("length", "edit").agg(F.avg(order_minhash.likeness("x", "y")).alias("near"))
+    for r in near.collect():
+        assert abs(r.near - np.mean(wanted[(r.length, r.edit)])) < 0.1, (r, wanted[(r.length, r.edit)])
+
+
+def test_every_text_fills_all_slots(spark):
+    texts = ["", "a", "a b", "a b c", "a b c d", " ".join(f"w{i}" for i in range(3000)), "x" * 5000]
+    rows = order_minhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    for r in rows:
+        assert [v >> 32 for v in r.sketch] == ([] if r.doc_id == 0 else list(range(-32, 32)))
+
+
+# SimHash windows
+
+
+WORDS = re.compile(r"[^\W_]+")
+
+
+def windows_by_brute_force(docs, items, percent=80, k=5):
+    """Best similarity of any window of an item's length at any place of a text."""
+    best: dict[tuple, float] = {}
+    shingles = lambda w: Counter(tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1)))
+    for d, text in docs:
+        words = WORDS.findall(text.lower())
+        for i, item in items:
+            wanted = WORDS.findall(item.lower())
+            target = shingles(wanted)
+            for at in range(max(len(words) - len(wanted), 0) + 1):
+                have = shingles(words[at : at + len(wanted)])
+                likeness = sum((have & target).values()) / sum((have | target).values())
+                if 100 * likeness >= percent:
+                    best[(d, i)] = max(best.get((d, i), 0.0), likeness)
+    return best
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Items of each length class, and texts that hold them with words replaced, inserted or removed near their ends and within."""
+    dice = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items, docs = [], []
+    for number in range(60):
+        length = (8, 15, 24, 40, 59)[number % 5]
+        words = dice.choices(vocabulary, k=length)
+        items.append((number, " ".join(words)))
+        for change in range(8):
+            changed = list(words)
+            for _ in range(change % 4):
+                edge = dice.choice([dice.randrange(3), length - 1 - dice.randrange(3), dice.randrange(length)])
+                edge = min(edge, len(changed) - 1)
+                action = dice.random()
+                if action < 0.6:
+                    changed[edge] = dice.choice(vocabulary)
+                elif action < 0.8:
+                    changed.insert(edge, dice.choice(vocabulary))
+                else:
+                    del changed[edge]
+            around = [dice.choices(vocabulary, k=dice.randrange(40)) for _ in range(2)]
+            docs.append((len(docs), " ".join([*around[0], *changed, *around[1]])))
+    return docs, items
+
+
+def found(spark, docs, items, spec=Decontam()):
+    rows = contaminated(
+        spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING"), spec
+    )
+    return {(r.doc_id, r.item_id): r for r in rows.collect()}
+
+
+def test_windows_within_the_radius_are_those_of_brute_force(spark, passages):
+    docs, items = passages
+    exact = windows_by_brute_force(docs, items)
+    got = found(spark, docs, items)
+    assert set(got) <= set(exact) and all(r.similarity >= 0.8 and r.hamming <= 18 for r in got.values())
+    for length in (8, 15, 24, 40, 59):
+        of = {pair for pair in exact if len(items[pair[1]][1].split()) == length}
+        recall = len(of & set(got)) / len(of)
+        print(f"length {length}: {len(of)} pairs, recall {recall:.3f}")
+        assert recall >= 0.97, (length, recall)
+
+
+def test_the_fingerprints_decide(spark, passages):
+    """A smaller radius finds fewer windows: exactly those of before that are within it."""
+    docs, items = passages
+    wide = found(spark, docs, items)
+    for radius, blocks in ((0, 5), (5, 3), (9, 4)):
+        narrow = found(spark, docs, items, Decontam(radius=radius, blocks=blocks))
+        assert all(r.hamming <= radius for r in narrow.values()) and len(narrow) < len(wide)
+        assert {pair for pair, r in wide.items() if r.hamming <= radius} <= set(narrow)
+
+
+def test_common_shingles_and_a_crowded_filter_lose_nothing(spark, passages):
+    """A phrase that all items share is no seed; a Bloom filter far too small lets through what the join then drops."""
+    docs, items = passages
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = [(i, f"{text} {phrase}") for i, text in items if len(text.split()) >= 40]
+    docs = [(d, f"{text}") for d, text in docs[:60]] + [(1000 + i, f"so {text} on") for i, text in items] + [(2000, f"x {phrase} y")]
+    exact = windows_by_brute_force(docs, items)
+    assert set(found(spark, docs, items, Decontam(common=4, filter_words=64))) == set(exact)
