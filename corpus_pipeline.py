@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.bloom import bloom_of
 from tidelog.llm.common import settled, table
 from tidelog.llm.decontam import contaminated
 from tidelog.llm.lang_id import UNKNOWN, predict, train
@@ -58,9 +59,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows with a passage of the benchmark. That depends on the text alone, so it is the text's digest that is
     reported and compared: ids may be missing or repeated."""
-    texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
-    found = settled(contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct())
-    return docs.join(found, F.sha2(docs["text"], 256) == found["found"], "left_anti").select(*_columns(docs))
+    own = F.struct(F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest"))
+    found = contaminated(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = settled(found.select("doc_id.key", F.col("doc_id.digest").alias("found")).distinct())
+    # Rows that a filter of bounded size rules out are not among those found: they stay where they are.
+    suspect = F.expr(bloom_of(found.select("key").distinct()).passes("xxhash64(text)"))
+    checked = docs.where(suspect).join(found.select("found"), F.sha2(docs["text"], 256) == F.col("found"), "left_anti")
+    return docs.where(~suspect).unionByName(checked).select(*_columns(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
