@@ -171,7 +171,8 @@ def contaminated(
     looked_up = prints.select("window", "length", F.posexplode(_block_values("hash", spec)).alias("block", "value"))
     entered = items.select("nth", "length", "item_hash", _block_values("item_hash", spec).alias("_b"))
     entered = entered.select("nth", "length", F.posexplode(_near_values("item_hash", spec)).alias("block", "values"))
-    entered = entered.select("nth", "length", "block", F.explode("values").alias("value"))
+    # A table, as Spark would take the rows of an explode for as few as those before it, and broadcast them.
+    entered = settled(entered.select("nth", "length", "block", F.explode("values").alias("value")))
     met = looked_up.join(entered, ["length", "block", "value"]).select("window", "nth").distinct()
     hamming = F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash")))
     candidates = met.join(prints.drop("length"), "window").join(items.select("nth", "item", "item_shingles", "item_hash"), "nth")
