@@ -285,15 +285,21 @@ def _wrapped_runs(text: str):
                     yield m.start() + start, m.end(), new
 
 
-def _unwrap(layer: Layer):
+def _decoded_in_place(layer: Layer) -> list[Layer]:
+    """The layer with one kind of encoding resolved, for each kind it has."""
+    text, made = layer.text, []
+    if "%" in text:
+        made.append(_in_place(layer, _PERCENT, _percent))
+    if "\0" in text and _WIDE.search(text):
+        made.append(_in_place(layer, _NULS, lambda _: ""))
+    if "\\" in text or "&" in text:
+        made.append(_in_place(layer, _ESCAPE, _escape))
+    return [new for new in made if new]
+
+
+def _runs(layer: Layer) -> Iterator[Layer]:
+    """The layers inside encoded runs. A generator: of a long layer's pieces only one is held at a time."""
     text = layer.text
-    if "%" in text and (new := _in_place(layer, _PERCENT, _percent)):
-        yield new
-    if "\0" in text and _WIDE.search(text) and (new := _in_place(layer, _NULS, lambda _: "")):
-        yield new
-    if ("\\" in text or "&" in text) and (new := _in_place(layer, _ESCAPE, _escape)):
-        yield new
-    # A generator: of a long layer's pieces only one is held at a time.
     for start, end, new in chain(_base64_runs(text), _wrapped_runs(text) if "\n" in text or "\r" in text or "\\n" in text else ()):
         yield Layer(new, run=layer.span(start, end))
 
@@ -311,16 +317,25 @@ def secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[st
     base = scan(text or "")
     first = Layer(text or "")
     found, seen = set(base), {_known(first)}
-    work = [_unwrap(first)]
+    # Layers to be scanned, and generators of more. What a layer becomes in place waits below its runs, and the layer
+    # goes when these are done: of encodings nested in place only one level is held at a time.
+    work: list[Layer | Iterator[Layer]] = [first]
+
+    def take_up(layer: Layer) -> None:
+        if (known := _known(layer)) not in seen:
+            seen.add(known)
+            work.append(layer)
+
     while work:
-        if (layer := next(work[-1], None)) is None:
-            work.pop()
-            continue
-        if (known := _known(layer)) in seen:
-            continue
-        seen.add(known)
-        found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
-        work.append(_unwrap(layer))
+        if isinstance(top := work.pop(), Layer):
+            if top is not first:
+                found.update((kind, *top.span(a, b)) for kind, a, b in scan(top.text))
+            for new in _decoded_in_place(top):
+                take_up(new)
+            work.append(_runs(top))
+        elif (layer := next(top, None)) is not None:
+            work.append(top)
+            take_up(layer)
     return _sorted(set(base)), _sorted(found)
 
 
