@@ -1,10 +1,16 @@
-"""That operators do what their methods say, against plain Python: Order MinHash by definition, SimHash windows by brute force."""
+"""That operators do what their methods say, against plain Python: Order MinHash by definition, SimHash windows by brute force,
+license notices by name and alignment by brute force."""
 
 from __future__ import annotations
 
+import base64
+import contextlib
+import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from urllib.parse import quote, unquote_to_bytes
 
 import numpy as np
 import pytest
@@ -13,6 +19,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import order_minhash
 from tidelog.llm.decontam import Decontam, contaminated
+from tidelog.llm.lang_id import _grams, build_trees, identify
+from tidelog.llm.license_scan import TEMPLATES, LicenseScan, _Hashes, align, fingerprints, license_spans
+from tidelog.llm.quality import fit
+from tidelog.llm.secret_scan import scan, secrets
 
 TOKEN = re.compile(r"\S{1,16}+(?!\S)\s*|\S|\s+")
 LENGTHS = (20, 40, 80, 160, 400)
@@ -169,3 +179,230 @@ def test_common_shingles_and_a_crowded_filter_lose_nothing(spark, passages):
     docs = [(d, f"{text}") for d, text in docs[:60]] + [(1000 + i, f"so {text} on") for i, text in items] + [(2000, f"x {phrase} y")]
     exact = windows_by_brute_force(docs, items)
     assert set(found(spark, docs, items, Decontam(common=4, filter_words=64))) == set(exact)
+
+
+# License scans
+
+
+NAMED = {
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under CC BY-NC-SA 3.0.": "CC-BY-NC-SA-3.0",
+    "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "It is covered by the GNU General Public License, version 2.": "GPL-2.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+    "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0-notice",
+    TEMPLATES["GPL-2.0-header"]: "GPL-2.0-header",
+    TEMPLATES["LGPL-2.1-header"]: "LGPL-2.1-header",
+    TEMPLATES["BSD-2-Clause-text"]: "BSD-2-Clause-text",
+    TEMPLATES["BSD-3-Clause-text"]: "BSD-3-Clause-text",
+    TEMPLATES["Apache-2.0-header"]: "Apache-2.0-header",
+}
+#: Licences and sentences that are near to those known, and none of them.
+OTHERS = [
+    "Licensed under the Artistic License, Version 2.0.", "Licensed under the Boost Software License, Version 1.0.",
+    "Licensed under the Open Software License, Version 3.0.", "Licensed under the Academic Free License, Version 3.0.",
+    "Licensed under the European Union Public License, Version 1.2.", "Released under the zlib License.", "Released under the Unlicense.",
+    "Released under the BSD Zero Clause License.", "Licensed under the Reciprocal Public License, Version 1.5.", "Released under the Beerware License.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.", "Licensed under the Python License, Version 2.0.",
+    "Licensed under the Eclipse Distribution License, Version 1.0.", "Licensed under the Common Public License, Version 1.0.",
+    "This work is licensed under the terms of the contract.", "Licensed under CC0 1.0.", "Released under the terms of the agreement.",
+    "Licensed under the Microsoft Public License.", "Licensed under the Q Public License, Version 1.0.", "Licensed under the Apache Software Foundation.",
+]
+
+
+def test_notices_are_named_by_the_words_that_tell_them_apart(spark):
+    texts = [f"Some words before it. {text} And some words after." for text in NAMED]
+    got = license_spans(spark.createDataFrame(list(enumerate([*texts, *OTHERS])), "doc_id BIGINT, text STRING")).collect()
+    names: dict[int, list[str]] = {}
+    for r in got:
+        names.setdefault(r.doc_id, []).append(r.license)
+    assert [names.get(i) for i in range(len(texts))] == [[name] for name in NAMED.values()]
+    wrong = [OTHERS[i - len(texts)] for i in names if i >= len(texts)]
+    print(f"near names: {len(wrong)} of {len(OTHERS)} given a wrong licence")
+    assert wrong == []
+
+
+def test_every_template_finds_itself_and_nothing_else(spark):
+    names = list(TEMPLATES)
+    got = license_spans(spark.createDataFrame([(i, TEMPLATES[n]) for i, n in enumerate(names)], "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r.doc_id, r.license, r.coverage) for r in got) == sorted((i, n, 1.0) for i, n in enumerate(names))
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_is_the_longest_common_subsequence_in_the_band():
+    dice = random.Random(6)
+    for _ in range(300):
+        template, words = (dice.choices("abcde", k=dice.randint(1, 14)) for _ in range(2))
+        matched, a, b = align(template, words, -20, 20)
+        assert matched == longest_common(template, words)
+        if matched:
+            assert longest_common(template, words[a:b]) == matched
+            # No shorter span has as many.
+            spans = [z - y for y in range(len(words)) for z in range(y, len(words) + 1) if longest_common(template, words[y:z]) == matched]
+            assert b - a == min(spans)
+
+
+def test_winnowing_keeps_the_smallest_of_every_window():
+    dice, hashes = random.Random(7), _Hashes()
+    for w in (1, 2, 4):
+        spec = LicenseScan(w=w)
+        words = dice.choices("abcdef", k=200)
+        every, _ = fingerprints(words, LicenseScan(w=1), hashes)
+        kept, at = fingerprints(words, spec, hashes)
+        expected = set()
+        for i in range(len(every) - w + 1):
+            window = every[i : i + w].tolist()
+            expected.add(i + max(j for j in range(w) if window[j] == min(window)))
+        assert at.tolist() == sorted(expected) and kept.tolist() == [every[i] for i in sorted(expected)]
+
+
+# Language identification
+
+
+def code_length(text: str, grams: Counter) -> float:
+    """Bits of a text by prediction by partial matching, method C, from counts of byte strings of up to four bytes."""
+    data, total = b"\n\n\n" + text.lower().encode(), 0.0
+    for at in range(3, len(data)):
+        for order in (3, 2, 1, 0):
+            context, byte = data[at - order : at], data[at : at + 1]
+            after = {g[-1:]: n for g, n in grams.items() if len(g) == order + 1 and g[:-1] == context}
+            if not after:
+                continue
+            n, q = sum(after.values()), len(after)
+            if byte in after:
+                total -= math.log2(after[byte] / (n + q))
+                break
+            total -= math.log2(q / (n + q))
+        else:
+            total += 8.0
+    return total
+
+
+def test_code_lengths_are_those_of_partial_matching():
+    dice = random.Random(12)
+    samples = {lang: "".join(dice.choices(letters, k=120)) for lang, letters in (("x", "abc é"), ("y", "bcde\n"))}
+    trees = build_trees({lang: tuple(a.astype(np.float64) if i else a for i, a in enumerate(_grams(text))) for lang, text in samples.items()}, 10_000)
+    for text in ("abcé", "edcb\n zz", "", "bbbb", samples["x"]):
+        for lang, bits in zip(trees.langs, trees.bits(text), strict=True):
+            data = b"\n\n\n" + samples[lang].lower().encode()
+            grams: Counter = Counter()
+            for order in range(4):
+                for at in range(3, len(data)):
+                    grams[data[at - order : at + 1]] += 1
+            assert abs(bits - code_length(text, grams)) < 1e-3 * max(1.0, bits), (lang, text)
+
+
+def test_contexts_are_bounded_for_each_language_alone():
+    """A language with little text keeps its contexts beside one with very much."""
+    dice = random.Random(13)
+    small, large = "".join(dice.choices("klmno ", k=2000)), "".join(dice.choices("abcdefghij ", k=60_000))
+    grams = {lang: tuple(a.astype(np.float64) if i else a for i, a in enumerate(_grams(text))) for lang, text in (("s", small), ("l", large))}
+    both, alone = build_trees(grams, 150), build_trees({"s": grams["s"]}, 150)
+    assert np.array_equal(both.trees[both.langs.index("s")].costs, alone.trees[0].costs)
+
+
+@pytest.mark.parametrize("languages", [4, 20, 100])
+def test_held_out_accuracy_by_number_of_languages(spark, languages):
+    """Languages beyond the given four are these with other letters, 45 documents each."""
+    documents, alphabet = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "abcdefghijklmnopqrstuvwxyz"
+    base = {lang: [r.text for r in documents.where(F.col("lang") == lang).where("length(text) > 100").orderBy("doc_id").limit(45).collect()] for lang in ("de", "en", "es", "fr")}
+    assert all(base.values())
+    rows = []
+    for number in range(languages):
+        letters = list(alphabet)
+        if number >= 4:
+            random.Random(number).shuffle(letters)
+        table = str.maketrans(alphabet, "".join(letters))
+        for text in base[sorted(base)[number % 4]]:
+            rows.append((len(rows), text[:1500].lower().translate(table), f"l{number:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").repartition(8)
+    found = identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    right, n = found.agg(F.avg(F.expr("IF(lang_pred = lang, 1.0D, 0.0D)")), F.count("*")).first()
+    print(f"{languages} languages: held-out accuracy {right:.3f} of {n}")
+    assert right > 0.9
+
+
+# Secret scans
+
+
+def test_nested_percent_signs_take_little_memory():
+    """600 levels, of which each decodes the one before: the layers are not held together."""
+    text = "token=%" + "25" * 600 + "41bcdefghijklmnop"
+    tracemalloc.start()
+    _, found = secrets(text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert ("assign", 0, len(text)) in found
+    assert peak < 6e6, peak
+
+
+def layers_by_brute_force(text: str) -> set[str]:
+    """All texts that decoding percent signs, \\u escapes or base64 runs, in any order, can lead to."""
+    seen, work = {text}, [text]
+    while work:
+        now = work.pop()
+        made = [re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: unquote_to_bytes(m[0]).decode(errors="replace"), now)]
+        made.append(re.sub(r"(?:\\u[0-9A-Fa-f]{4})+", lambda m: "".join(chr(int(x, 16)) for x in m[0].split("\\u")[1:]), now))
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", now):
+            with contextlib.suppress(ValueError):
+                made.append(base64.b64decode(m[0]).decode())
+        for new in made:
+            if new not in seen:
+                seen.add(new)
+                work.append(new)
+    return seen
+
+
+def test_every_layer_is_scanned():
+    """Secrets wrapped in random encodings: what any layer by brute force shows as a secret is found, and spans lie on the wrapped text."""
+    dice, kinds = random.Random(15), [
+        lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: "".join(f"%{ord(c):02X}" if dice.random() < 0.3 else c for c in t),
+    ]
+    for _ in range(120):
+        plain = f'token = "{"".join(dice.choices("abcXYZ0189", k=16))}"'
+        wrapped = plain
+        for _ in range(dice.randrange(4)):
+            wrapped = dice.choice(kinds)(wrapped)
+        text = f"before this, {wrapped} and after"
+        _, found = secrets(text)
+        shown = any("assign" in {kind for kind, _, _ in scan(layer)} for layer in layers_by_brute_force(text))
+        assert shown and any(kind == "assign" and a >= 13 and b <= 13 + len(wrapped) for kind, a, b in found), text
+
+
+# Quality ranking
+
+
+def test_weights_minimise_the_loss_of_all_pairs_and_the_threshold_is_a_quantile():
+    dice = np.random.default_rng(16)
+    good, bad = dice.normal(0.5, 1, (24, 4)), dice.normal(-0.5, 1, (15, 4))
+    penalty, share = 0.05, 0.4
+    ranking = fit(good, bad, share, penalty, rounds=3000)
+    x, y = ((rows - ranking.mean) / ranking.scale for rows in (good, bad))
+
+    def loss(w: np.ndarray) -> float:
+        pairs = [math.log1p(math.exp(-float((a - b) @ w))) for a in x for b in y]
+        return sum(pairs) / len(pairs) + penalty / 2 * float(w @ w)
+
+    least = loss(ranking.weights)
+    for i in range(4):
+        for step in (1e-3, -1e-3, 0.1, -0.1):
+            assert loss(ranking.weights + step * np.eye(4)[i]) > least
+    # Each class stands for its share of the labels: that of bad ones lies below the threshold.
+    below = (x @ ranking.weights < ranking.threshold).mean() * (1 - share) + (y @ ranking.weights < ranking.threshold).mean() * share
+    assert abs(below - share) <= max((1 - share) / len(x), share / len(y)) + 1e-9
+    assert ranking.scores(good).min() >= 0 and ((ranking.scores(bad) >= 0.3) == (y @ ranking.weights >= ranking.threshold)).all()
