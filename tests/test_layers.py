@@ -14,8 +14,9 @@ from tidelog.__main__ import main
 from tidelog.config import PURCHASE, EntitySpec
 from tidelog.operators.timeline import union_sources
 from tidelog.plans.history import history_of
-from tidelog.plans.layers import Layers, ingest, malformed_lines, run_layers
+from tidelog.plans.layers import Layers, ingest, malformed_lines, run_layers, stored_layer
 from tidelog.session import object_store_conf, shared_folder
+from tidelog.sources.buckets import write_buckets
 from tidelog.sources.events import MALFORMED, REASON, read_events, typed_events
 from tidelog.sources.tables import read_table, write_days
 
@@ -64,6 +65,53 @@ def test_chain_builds_the_golden_history(spark, tmp_path):
     ]
 
 
+def test_layers_in_buckets_shuffle_the_key_once(spark, tmp_path, monkeypatch):
+    """Same history; daily states and versions are read, made and written without an exchange, a file for each day and bucket."""
+    _deliver(tmp_path)
+    plans = {}
+
+    def watched(rows, path, *arguments):
+        plans[Path(path).name] = rows._jdf.queryExecution().executedPlan().toString()
+        return write_buckets(rows, path, *arguments)
+
+    monkeypatch.setattr("tidelog.plans.layers.write_buckets", watched)
+    run = run_layers(spark, str(tmp_path), PURCHASE, buckets=3)
+    assert list(run.stage_counts(PURCHASE).values()) == [39, 38, 36, 22, 22, 10]
+    expected = golden.table("History (derived;")
+    rows = run.history.orderBy("purchase_id", "dt_inicio_validade").collect()
+    assert golden.printed(rows, list(expected[0])) == [tuple(row.values()) for row in expected]
+    assert "Exchange" not in plans["purchase_diario"] and "Exchange" not in plans["purchase_historico"]
+    assert "Bucketed: true" in plans["purchase_historico"]
+    for folder in Path(Layers(str(tmp_path), PURCHASE).history).glob("v-*/transaction_date=*"):
+        assert len(list(folder.glob("*.parquet"))) <= 3
+
+    # Another session knows nothing of the table, and opens it from its folder.
+    other = spark.newSession()
+    for table in spark.catalog.listTables():
+        if table.name.startswith("tidelog_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    layers = Layers(str(tmp_path), PURCHASE, 3)
+    again = stored_layer(other, layers, "purchase_historico", layers.history)
+    assert sorted(map(str, again.select(*run.history.columns).collect())) == sorted(map(str, rows))
+
+    # A rebuild replaces it whole, and one that fails leaves it.
+    main_table = sorted(p.name for p in Path(layers.history).glob("v-*"))
+    broken = again.withColumn("subsidiary", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        write_buckets(broken, layers.history, "transaction_date", "purchase_id", 3)
+    assert stored_layer(other, layers, "purchase_historico", layers.history).count() == 22
+    assert set(main_table) <= {p.name for p in Path(layers.history).glob("v-*")}
+
+
+def test_undated_events_in_buckets(spark, tmp_path):
+    _deliver(tmp_path, {"purchase_extra_info": ",2023-01-01,73,nacional\n"})
+    run = run_layers(spark, str(tmp_path), PURCHASE, buckets=2)
+    feeds = {name: f.drop(MALFORMED, REASON) for name, f in typed_events(spark, f"{tmp_path}/raw", PURCHASE).items()}
+    direct = history_of(union_sources(feeds, PURCHASE), PURCHASE).select(run.history.columns)
+    assert direct.exceptAll(run.history).count() == run.history.exceptAll(direct).count() == 0
+    assert run.history.where("dt_inicio_validade IS NULL").count() == 1
+
+
 def test_steps_one_at_a_time(spark, tmp_path):
     _deliver(tmp_path)
     for step in ("bronze", "timeline", "daily"):

@@ -24,7 +24,7 @@ from tidelog.sources.feeds import all_feeds, one_feed, split_feeds
 from tidelog.sources.tables import read_table, write_days
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITING = {"csv_typed_scan", "layer_roundtrip", "partition_refresh", "chain_counts", "late_events_repaired"}
+WRITING = {"csv_typed_scan", "layer_roundtrip", "partition_refresh", "layer_roundtrip_buckets", "chain_counts", "late_events_repaired"}
 
 
 def plan(frame, mode="simple") -> str:

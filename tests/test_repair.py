@@ -19,9 +19,10 @@ from tidelog.operators.state import daily_state
 from tidelog.operators.timeline import counted_timeline, latest_per_source_day, unify, union_sources, with_fingerprint
 from tidelog.plans.history import check_past_frozen, history_of
 from tidelog.plans.layers import Layers, build_daily, build_history, stored_layer
-from tidelog.plans.publish import InvariantViolated, current_folder, publish, read_published
+from tidelog.plans.publish import InvariantViolated, publish, published_digests, read_published
 from tidelog.plans.refresh import refresh_layers
 from tidelog.sources.events import MALFORMED, REASON, typed_events
+from tidelog.sources.pointers import current_folder
 from tidelog.sources.tables import write_days
 
 DAY = PURCHASE.event_day
@@ -69,19 +70,24 @@ def files(path) -> dict[str, set]:
 
 
 LATE = {
-    "a new day between two versions": [("purchase_extra_info", 55, "2023-02-20 10:00:00", {"subsidiary": "internacional"})],
-    "a cancellation carried until the feed speaks again": [("purchase", 55, "2023-02-01 10:00:00", {"buyer_id": 1, "release_date": None})],
-    "before everything that is known": [("product_item", 70, "2022-01-01 10:00:00", {"product_id": 9, "purchase_value": "1.00"})],
-    "after everything that is known": [("product_item", 71, "2024-01-01 10:00:00", {"product_id": 9, "purchase_value": "1.00"})],
-    "an earlier event of a day, which loses": [("purchase_extra_info", 55, "2023-01-23 00:00:01", {"subsidiary": "x"})],
-    "a later event of a day, which wins": [("purchase_extra_info", 55, "2023-01-23 23:59:59", {"subsidiary": "x"})],
-    "a key that is new": [("purchase_extra_info", 4711, "2023-01-23 23:59:59", {"subsidiary": "x"})],
-    "an event without a time": [("purchase_extra_info", 73, None, {"subsidiary": "x"})],
-    "several keys and days": [
+    "new days": [
+        # Between two versions, before and after everything that is known, of a new key, without a time, without a key.
+        ("purchase_extra_info", 55, "2023-02-20 10:00:00", {"subsidiary": "internacional"}),
+        ("product_item", 70, "2022-01-01 10:00:00", {"product_id": 9, "purchase_value": "1.00"}),
+        ("product_item", 71, "2024-01-01 10:00:00", {"product_id": 9, "purchase_value": "1.00"}),
+        ("purchase_extra_info", 4711, "2023-01-23 23:59:59", {"subsidiary": "x"}),
+        ("purchase_extra_info", 73, None, {"subsidiary": "x"}),
+        ("purchase", None, "2023-02-01 10:00:00", {"buyer_id": 5}),
+    ],
+    "a cancellation carried until the feed speaks again, and an event that loses its day": [
+        ("purchase", 55, "2023-02-01 10:00:00", {"buyer_id": 1, "release_date": None}),
+        ("purchase_extra_info", 55, "2023-01-23 00:00:01", {"subsidiary": "x"}),
+        ("purchase", 72, "2023-02-01 10:00:00", {"buyer_id": 5}),
+    ],
+    "an event that wins its day, and several days of a key": [
+        ("purchase_extra_info", 55, "2023-01-23 23:59:59", {"subsidiary": "x"}),
         ("purchase_extra_info", 55, "2023-03-01 10:00:00", {"subsidiary": "x"}),
         ("purchase_extra_info", 55, "2023-06-01 10:00:00", {"subsidiary": "y"}),
-        ("purchase", 72, "2023-02-01 10:00:00", {"buyer_id": 5}),
-        ("purchase", None, "2023-02-01 10:00:00", {"buyer_id": 5}),
     ],
 }
 
@@ -151,15 +157,15 @@ def test_readers_see_the_old_history_until_the_new_one_is_checked(spark, tmp_pat
             publish(broken, path, PURCHASE)
         assert raised.value.violations == expected
         assert same(history, read_published(spark, path, history.schema, PURCHASE))
-    # Nothing of what was refused is left.
-    assert len(list(Path(path).glob("v-*"))) == 1
+    # Nothing of what was refused is left: one history with its digests.
+    assert len(list(Path(path).glob("v-*"))) == 2
 
     later = history_of(events.unionByName(event(spark, "purchase_extra_info", 55, "2024-05-05 10:00:00", subsidiary="x")), PURCHASE)
     publish(later, path, PURCHASE)
     # One who has the old history open still reads it whole, a new reader gets the new one.
     assert reader.count() == 22 and read_published(spark, path, history.schema, PURCHASE).count() == 23
     publish(later, path, PURCHASE)
-    assert len(list(Path(path).glob("v-*"))) == 2
+    assert len(list(Path(path).glob("v-*"))) == 4
 
 
 def test_a_reader_during_a_rebuild_sees_the_old_history(spark, tmp_path, events):
@@ -232,6 +238,16 @@ def test_digests_show_which_days_differ(spark, events):
     assert check_past_frozen(backdated, PURCHASE, day, then, digests).first().violations == expected > 0
 
 
+def test_a_published_history_brings_the_digests_of_its_past(spark, tmp_path, events):
+    path, day = f"{tmp_path}/gold", dt.date(2023, 6, 1)
+    then = history_of(events.where(F.col(DAY) <= F.lit(day)), PURCHASE)
+    publish(then, path, PURCHASE)
+    published, digests = read_published(spark, path, then.schema, PURCHASE), published_digests(spark, path)
+    assert check_past_frozen(events, PURCHASE, day, published, digests).first().violations == 0
+    backdated = events.unionByName(event(spark, "purchase_extra_info", 55, "2023-02-20 10:00:00", subsidiary="x"))
+    assert check_past_frozen(backdated, PURCHASE, day, published, digests).first().violations > 0
+
+
 def test_sets_of_days_are_exact(spark):
     days = [dt.date(1970, 1, 1), dt.date(1969, 12, 31), dt.date(2059, 9, 18), dt.date(2059, 9, 19), dt.date(1, 1, 1), dt.date(9999, 12, 31), None]
     days += [dt.date(2024, 1, 1) + dt.timedelta(days=i * i) for i in range(50)]

@@ -9,24 +9,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelog.config import EntitySpec
 from tidelog.operators.history import scd2
-from tidelog.operators.state import daily_state
+from tidelog.operators.state import daily_state, fill_days, fold_days
 from tidelog.operators.timeline import DEDUPLICATED, STACKED, counted_timeline, unify, union_sources
+from tidelog.sources.buckets import read_buckets, write_buckets
 from tidelog.sources.events import MALFORMED, REASON, typed_events, with_event_day
 from tidelog.sources.tables import ROWS, read_table, start_together, write_days
 
 
 @dataclass(frozen=True)
 class Layers:
-    """Where each table lives below a base path, which may be any Hadoop file system URI."""
+    """Where each table lives below a base path, which may be any Hadoop file system URI.
+
+    With ``buckets`` timeline, daily states and history are cut into that many buckets by key within their days. The key is
+    shuffled once, for the timeline; the steps after it read and write bucket by bucket. That takes a file for each
+    day and bucket, so it is for tables whose days are many times as large as a file should be.
+    """
 
     base: str
     spec: EntitySpec
+    buckets: int | None = None
 
     @property
     def raw(self) -> str:
@@ -97,8 +104,17 @@ def malformed_lines(spark: SparkSession, layers: Layers) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+_SCHEMAS: dict[str, dict[str, StructType]] = {}
+
+
 def _schemas(spark: SparkSession, spec: EntitySpec) -> dict[str, StructType]:
-    """Schema of every stored table, found by planning the chain over feeds without rows."""
+    """Schema of every stored table, found once for each spec by planning the chain over feeds without rows."""
+    if (known := _SCHEMAS.get(repr(spec))) is None:
+        known = _SCHEMAS[repr(spec)] = _planned_schemas(spark, spec)
+    return known
+
+
+def _planned_schemas(spark: SparkSession, spec: EntitySpec) -> dict[str, StructType]:
     feeds = {
         source.name: spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in source.schema.items()))
         for source in spec.sources
@@ -113,7 +129,20 @@ def _schemas(spark: SparkSession, spec: EntitySpec) -> dict[str, StructType]:
 
 def stored_layer(spark: SparkSession, layers: Layers, name: str, path: str) -> DataFrame:
     """A stored table of the chain by its name: a feed, or one of the tables the spec names."""
-    return read_table(spark, path, _schemas(spark, layers.spec)[name], layers.spec.event_day)
+    spec = layers.spec
+    schema = _schemas(spark, spec)[name]
+    if layers.buckets and name in (spec.timeline_table, spec.daily_table, spec.history_table):
+        return read_buckets(spark, path, schema, spec.event_day, spec.key, layers.buckets)
+    return read_table(spark, path, schema, spec.event_day)
+
+
+def _store(
+    rows: DataFrame, layers: Layers, path: str, counts: dict[str, Column] | None = None, drop: tuple[str, ...] = (), key: str | None = None
+) -> dict[str, int]:
+    day = layers.spec.event_day
+    if layers.buckets:
+        return write_buckets(rows, path, day, layers.spec.key, layers.buckets, counts, drop)
+    return write_days(rows, path, day, counts=counts, drop=drop, key=key)
 
 
 def build_timeline(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
@@ -122,33 +151,35 @@ def build_timeline(spark: SparkSession, layers: Layers) -> dict[str, dict[str, i
     spec = layers.spec
     feeds = {s.name: stored_layer(spark, layers, s.name, layers.bronze(s.name)) for s in spec.sources}
     timeline = counted_timeline(union_sources(feeds, spec), spec)
+    if layers.buckets:
+        # A key has at most a row for each feed and calendar day here.
+        timeline = timeline.repartition(layers.buckets, spec.key)
     counts = {name: F.coalesce(F.sum(column), F.lit(0)) for name, column in (("stacked", STACKED), ("deduplicated", DEDUPLICATED))}
-    stored = write_days(timeline, layers.timeline, spec.event_day, counts=counts, drop=[STACKED, DEDUPLICATED])
-    return {spec.timeline_table: stored}
+    return {spec.timeline_table: _store(timeline, layers, layers.timeline, counts, (STACKED, DEDUPLICATED))}
 
 
 def build_daily(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
-    daily = daily_state(stored_layer(spark, layers, spec.timeline_table, layers.timeline), spec)
-    return {spec.daily_table: write_days(daily, layers.daily, spec.event_day)}
+    timeline = stored_layer(spark, layers, spec.timeline_table, layers.timeline)
+    # A stored timeline in buckets is dealt by key as it is read.
+    daily = fill_days(fold_days(timeline, spec), spec) if layers.buckets else daily_state(timeline, spec)
+    return {spec.daily_table: _store(daily, layers, layers.daily)}
 
 
 def build_history(spark: SparkSession, layers: Layers) -> dict[str, dict[str, int]]:
     spec = layers.spec
     current = {"current": F.count_if(F.col(spec.is_current))}
     versions = scd2(stored_layer(spark, layers, spec.daily_table, layers.daily), spec)
-    return {
-        spec.history_table: write_days(versions, layers.history, spec.event_day, counts=current, key=spec.key)
-    }
+    return {spec.history_table: _store(versions, layers, layers.history, current, key=spec.key)}
 
 
-def run_layers(spark: SparkSession, base_path: str, spec: EntitySpec) -> LayerRun:
+def run_layers(spark: SparkSession, base_path: str, spec: EntitySpec, buckets: int | None = None) -> LayerRun:
     """Rebuild every layer from raw, one after the other; an error stops the chain.
 
     Always a full rebuild: replacing only the days present would leave behind the old day of an
     event that has moved.
     """
-    layers = Layers(base_path.rstrip("/"), spec)
+    layers = Layers(base_path.rstrip("/"), spec, buckets)
     counts = ingest(spark, layers)
     counts |= build_timeline(spark, layers)
     counts |= build_daily(spark, layers)

@@ -204,6 +204,7 @@ LIMIT 50""",
     "top2_products_per_producer": _TOP2_PRODUCTS,
     "top2_products_in_sql": _TOP2_PRODUCTS,
     "layer_roundtrip": _HISTORY,
+    "layer_roundtrip_buckets": _HISTORY,
     "layer_roundtrip_missing_feed": _on_history("SELECT * FROM history", f"event_type <> '{SILENT}'"),
     "partition_refresh": _HISTORY,
     "check_one_current": _on_history(

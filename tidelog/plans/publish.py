@@ -7,17 +7,15 @@ invariant, leaves the published history as it was.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelog.config import EntitySpec
+from tidelog.operators.digests import day_digests
+from tidelog.sources.pointers import current_folder, fresh_folder, point_to, remove_but
 from tidelog.sources.tables import read_table, write_days
 
-POINTER, FOLDER = "CURRENT", "v-"
 BROKEN_INTERVALS, NOT_ONE_CURRENT = "broken_intervals", "not_one_current"
 _FLAGS = {BROKEN_INTERVALS: "_broken", NOT_ONE_CURRENT: "_not_one"}
 
@@ -48,60 +46,30 @@ def with_violations(history: DataFrame, spec: EntitySpec) -> DataFrame:
     )
 
 
-def _hadoop(spark: SparkSession):
-    return spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-
-
-def current_folder(spark: SparkSession, path: str) -> str | None:
-    """Folder of the published history, None if nothing was published yet."""
-    fs, conf = _hadoop(spark)
-    pointer = fs.Path(f"{path}/{POINTER}")
-    if not pointer.getFileSystem(conf).exists(pointer):
-        return None
-    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
-
-
-def _point_to(spark: SparkSession, path: str, name: str) -> None:
-    fs, conf = _hadoop(spark)
-    fresh, pointer = fs.Path(f"{path}/.{name}.pointer"), fs.Path(f"{path}/{POINTER}")
-    out = fresh.getFileSystem(conf).create(fresh, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    rename = getattr(fs, "Options$Rename")
-    overwrite = spark._sc._gateway.new_array(rename, 1)
-    overwrite[0] = rename.OVERWRITE
-    fs.FileContext.getFileContext(pointer.toUri(), conf).rename(fresh, pointer, overwrite)
-
-
-def _remove_but(spark: SparkSession, path: str, kept: Sequence[str | None]) -> None:
-    fs, conf = _hadoop(spark)
-    root = fs.Path(path)
-    files = root.getFileSystem(conf)
-    for found in files.listStatus(root):
-        name = found.getPath().getName()
-        if name.startswith(FOLDER) and f"{path}/{name}" not in kept:
-            files.delete(found.getPath(), True)
+def _digests(folder: str) -> str:
+    return f"{folder}.digests"
 
 
 def publish(history: DataFrame, path: str, spec: EntitySpec) -> dict[str, int]:
     """Write ``history`` by day below ``path``, check it, and make it the published one; returns its counts.
 
     Raises :class:`InvariantViolated`, with the old history still in place, if a version does not end on the eve of the next
-    or a key has not exactly one current version. The history published before is kept for those still reading it; older ones are
+    or a key has not exactly one current version. Digests of its days are stored beside it, a row for each. The history published before is kept for those still reading it; older ones are
     removed. One publisher at a time; readers need no care.
     """
     spark = history.sparkSession
-    before, name = current_folder(spark, path), f"{FOLDER}{uuid.uuid4().hex}"
+    before, folder = current_folder(spark, path), fresh_folder(path)
     counts = {what: F.count_if(F.col(flag)) for what, flag in _FLAGS.items()}
     found = write_days(
-        with_violations(history, spec), f"{path}/{name}", spec.event_day, counts=counts, drop=list(_FLAGS.values()), key=spec.key
+        with_violations(history, spec), folder, spec.event_day, counts=counts, drop=list(_FLAGS.values()), key=spec.key
     )
     violations = {what: found[what] for what in _FLAGS}
     if any(violations.values()):
-        _remove_but(spark, path, [before])
+        remove_but(spark, path, [before, _digests(before)] if before else [])
         raise InvariantViolated(violations)
-    _point_to(spark, path, name)
-    _remove_but(spark, path, [before, f"{path}/{name}"])
+    day_digests(read_table(spark, folder, history.schema, spec.event_day), spec).write.parquet(_digests(folder))
+    point_to(spark, folder)
+    remove_but(spark, path, [f for kept in (before, folder) if kept for f in (kept, _digests(kept))])
     return found
 
 
@@ -111,3 +79,11 @@ def read_published(spark: SparkSession, path: str, schema: StructType, spec: Ent
     if folder is None:
         raise FileNotFoundError(f"nothing has been published at {path}")
     return read_table(spark, folder, schema, spec.event_day)
+
+
+def published_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of the days of the history published last, for ``check_past_frozen``."""
+    folder = current_folder(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing has been published at {path}")
+    return spark.read.parquet(_digests(folder))

@@ -63,6 +63,7 @@ RANKED_YEAR = 1997
 SILENT = "signup"
 ONE_KEY = 7
 UNDATED_EACH = 5
+BUCKETS = 4
 FULFILLED = "F"
 MONEY = "decimal(28,2)"
 
@@ -270,6 +271,13 @@ def layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(run_layers(spark, base, USER).history)
 
 
+def layer_roundtrip_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the key shuffled once and all layers after that in buckets of it."""
+    base = shared_folder(spark, "layer_roundtrip_buckets")
+    _deliver_raw(spark, sf_dir, Layers(base, USER).raw)
+    return _flat(run_layers(spark, base, USER, buckets=BUCKETS).history)
+
+
 def layer_roundtrip_missing_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same before one feed has delivered anything: its file has a header only."""
     base = shared_folder(spark, "layer_roundtrip_missing_feed")
@@ -350,6 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top2_products_in_sql": top2_products_in_sql,
     "layer_roundtrip": layer_roundtrip,
     "layer_roundtrip_missing_feed": layer_roundtrip_missing_feed,
+    "layer_roundtrip_buckets": layer_roundtrip_buckets,
     "partition_refresh": partition_refresh,
     "check_one_current": one_current,
     "check_intervals": intervals,

@@ -57,6 +57,8 @@ def refresh_layers(spark: SparkSession, layers: Layers, late: DataFrame) -> dict
     the caller.
     """
     spec: EntitySpec = layers.spec
+    if layers.buckets:
+        raise ValueError("layers in buckets are rebuilt as a whole")
     day, kept = spec.event_day, shared_folder(spark, "refresh")
 
     def settled(name: str, rows: DataFrame) -> DataFrame:

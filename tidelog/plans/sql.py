@@ -10,14 +10,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.config import EntitySpec, MetricSpec
+from tidelog.operators.rankings import RANK, REVENUE, YEAR
+from tidelog.operators.revenue import DAY, SEGMENT
+from tidelog.operators.revenue import REVENUE as GMV
 
-_GMV = """
-SELECT IDENTIFIER(:paid_day)                           AS dia,
-       {segment}        AS subsidiaria,
-       sum(IDENTIFIER(:amount))                        AS gmv
+_GMV = f"""
+SELECT IDENTIFIER(:paid_day) AS {DAY}, {{segment}} AS {SEGMENT}, sum(IDENTIFIER(:amount)) AS {GMV}
 FROM IDENTIFIER(:history)
 WHERE IDENTIFIER(:paid_day) IS NOT NULL
-  AND {in_force}
+  AND {{in_force}}
 GROUP BY 1, 2
 ORDER BY 1, 2
 """
@@ -35,21 +36,19 @@ GMV_AS_OF = _GMV.format(
   AND (IDENTIFIER(:valid_to) IS NULL OR IDENTIFIER(:valid_to) >= :day)""",
 )
 
-TOP_PRODUCERS = """
-SELECT year(order_date)                     AS year_of_purchase,
-       producer_id,
-       round(sum(purchase_total_value), 2)  AS faturamento
+TOP_PRODUCERS = f"""
+SELECT year(order_date) AS {YEAR}, producer_id, round(sum(purchase_total_value), 2) AS {REVENUE}
 FROM IDENTIFIER(:purchases)
 WHERE order_date >= make_date(:year, 1, 1)
   AND order_date < make_date(:year + 1, 1, 1)
   AND purchase_status = :status
 GROUP BY ALL
-ORDER BY faturamento DESC, producer_id
+ORDER BY {REVENUE} DESC, producer_id
 LIMIT :n
 """
 
 # Purchases and items are summed before the join, as in the DataFrame form.
-TOP_PRODUCTS = """
+TOP_PRODUCTS = f"""
 WITH bought AS (
     SELECT prod_item_id, prod_item_partition, producer_id, count(*) AS times
     FROM IDENTIFIER(:purchases)
@@ -62,15 +61,15 @@ worth AS (
     GROUP BY ALL
 ),
 revenue AS (
-    SELECT producer_id, product_id, round(sum(value * times), 2) AS faturamento
+    SELECT producer_id, product_id, round(sum(value * times), 2) AS {REVENUE}
     FROM bought JOIN worth USING (prod_item_id, prod_item_partition)
     GROUP BY ALL
 ),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY producer_id ORDER BY faturamento DESC, product_id) AS rank
+    SELECT *, row_number() OVER (PARTITION BY producer_id ORDER BY {REVENUE} DESC, product_id) AS {RANK}
     FROM revenue
 )
-SELECT * FROM ranked WHERE rank <= :n ORDER BY producer_id, rank
+SELECT * FROM ranked WHERE {RANK} <= :n ORDER BY producer_id, {RANK}
 """
 
 
