@@ -19,6 +19,7 @@ cloudpickle.register_pickle_by_value(tidelog.llm)
 
 _ROWS_PER_TASK = 200_000
 _ROWS_AT_A_TIME = 256
+_BATCH_BYTES = 4 << 20
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -52,6 +53,16 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    except Exception:  # a Spark that bounds batches by rows alone
+        return
+    if not 0 < given <= _BATCH_BYTES:
+        spark.conf.set(name, str(_BATCH_BYTES))
+
+
 def _give_back() -> None:
     """Return free memory of this worker to the system, as far as its allocators know how."""
     gc.collect()
@@ -66,7 +77,9 @@ def map_batches(
 ) -> DataFrame:
     """Apply a function to every Arrow batch, a few rows at a time, so that what a task holds as Python objects
     stays small. ``start`` makes the function once per task, with what it needs to load. Workers live on after a task, so
-    what it held is given back to the system."""
+    what it held is given back to the system. A batch has some _BATCH_BYTES, or one row: Spark's setting for that is
+    lowered to it in the session, if it is higher."""
+    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
