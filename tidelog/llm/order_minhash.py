@@ -107,51 +107,58 @@ def fingerprints(
     return _sketch(texts, "text", "sketch", spec).select(F.col("id").alias(id_col), "sketch")
 
 
-def _block(key: Column, rows: DataFrame) -> Column:
-    """Number of a block of about _ROWS_PER_BLOCK rows; never falls as the key rises.
+def _block(rows: DataFrame, n: int) -> Column:
+    """Number of a block of about _ROWS_PER_BLOCK of the ``n`` rows; never falls as their ``place`` rises.
 
-    Quantiles of the keys are joined by straight lines, so the blocks are even for any smooth
+    Quantiles of the places are joined by straight lines, so the blocks are even for any smooth
     distribution. The blocks are at most _MOST_BLOCKS, so a row for each can be broadcast.
     """
-    n = rows.count()
+    place = F.col("place")
     blocks = min(_MOST_BLOCKS, max(1, -(-n // _ROWS_PER_BLOCK)))
-    marks = sorted(set(rows.approxQuantile("key", [i / _QUANTILES for i in range(_QUANTILES + 1)], 0.002)))
+    marks = sorted(set(rows.approxQuantile("place", [i / _QUANTILES for i in range(_QUANTILES + 1)], 0.002)))
     if blocks == 1 or len(marks) < 2:
         return F.lit(0).cast("bigint")
     per = max(1, -(-blocks // (len(marks) - 1)))
     number = F.lit(0).cast("bigint")
     for i, (low, high) in enumerate(zip(marks, marks[1:], strict=False)):
-        inside = F.least(F.floor((key - low) / (high - low) * per), F.lit(per - 1))
-        number = F.when(key >= low, i * per + F.greatest(inside, F.lit(0))).otherwise(number)
+        inside = F.least(F.floor((place - low) / (high - low) * per), F.lit(per - 1))
+        number = F.when(place >= low, i * per + F.greatest(inside, F.lit(0))).otherwise(number)
     return number
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     """``docs`` with ``next_<column>`` of the row with the next smaller key; after the smallest the largest.
 
-    Equal keys are ordered by the columns, NULL keys come last. Rows are shuffled once, to their block of keys.
-    A block's largest row is also sent to the block above it, as a guest that only serves as next row.
+    Equal keys are ordered by a hash of the first column, then by the columns; NULL keys come last. Rows are shuffled once, to
+    their block of keys and hashes, so rows that share a key, or have none, are spread over blocks unless the first
+    column is the same as well. A block's largest row is also sent to the block above it, as a guest that only serves as next row.
     """
-    low = -(2**63)
-    rows = docs.withColumn("key", F.coalesce(F.col(key).cast("bigint"), F.lit(low)))
-    keys = rows.select("key")
-    block = _block(F.col("key"), keys)
-    heads = settled(keys.groupBy(block.alias("block")).agg(F.max("key").alias("key")))
-    # _MOST_BLOCKS rows at most, with two numbers each.
+    least, n = docs.agg(F.min(F.col(key).cast("bigint")), F.count("*")).first()
+    # Up to here keys are exact as doubles, and hashes count beside them.
+    exact = 1 << 53
+    none = least - 1 if least is not None and least > -exact else -(2**63) if least is not None else 0
+    rows = docs.withColumns({"key": F.coalesce(F.col(key).cast("bigint"), F.lit(none).cast("bigint")), "tie": F.xxhash64(columns[0])})
+    beside = F.when(F.col("key").between(-exact, exact), F.col("tie").cast("double")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("place", F.col("key").cast("double") * 2.0**64 + beside)
+    keys = rows.select("key", "tie", "place")
+    block = _block(keys, n)
+    head = F.max(F.struct("key", "tie")).alias("head")
+    heads = settled(keys.groupBy(block.alias("block")).agg(head).select("block", "head.key", "head.tie"))
+    # _MOST_BLOCKS rows at most, with three numbers each.
     order = Window.orderBy("block")
     above = heads.select(
-        "key", F.coalesce(F.lead("block").over(order), F.min("block").over(order)).alias("above")
+        "key", "tie", F.coalesce(F.lead("block").over(order), F.min("block").over(order)).alias("above")
     )
     guests = F.broadcast(settled(above))
-    placed = rows.withColumn("own", block).join(guests, "key", "left")
+    placed = rows.withColumn("own", block).join(guests, ["key", "tie"], "left")
     homes = F.when(F.col("above").isNull(), F.array(F.struct(F.lit(False).alias("guest"), F.col("own").alias("block")))).otherwise(
         F.array(
             F.struct(F.lit(False).alias("guest"), F.col("own").alias("block")),
             F.struct(F.lit(True).alias("guest"), F.col("above").alias("block")),
         )
     )
-    placed = placed.withColumn("home", F.explode(homes)).select(*docs.columns, "key", "home.guest", "home.block")
-    down = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), *columns)
+    placed = placed.withColumn("home", F.explode(homes)).select(*docs.columns, "key", "tie", "home.guest", "home.block")
+    down = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), F.col("tie").desc(), *columns)
     ahead = [F.lead(c).over(down).alias(f"next_{c}") for c in columns]
     return placed.select(*docs.columns, "guest", *ahead).where("NOT guest").drop("guest")
 
@@ -162,7 +169,8 @@ def compare_edited(
     """Fingerprints of texts and of edited texts, whose second half (rounded down) is that much of the start of
     the next text in descending id. ``(id, n_chars, edited, sketch, edited_sketch, near_edited, near_next)``.
 
-    A NULL text is an empty one. A single text is its own next one. Rows without an id come after all others.
+    A NULL text is an empty one. A single text is its own next one. Rows that share an id come in the order of a hash of their texts, rows without an
+    id after all others.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(_sketch(texts, "text", "sketch", spec), ["text", "sketch"])
