@@ -406,3 +406,31 @@ def test_weights_minimise_the_loss_of_all_pairs_and_the_threshold_is_a_quantile(
     below = (x @ ranking.weights < ranking.threshold).mean() * (1 - share) + (y @ ranking.weights < ranking.threshold).mean() * share
     assert abs(below - share) <= max((1 - share) / len(x), share / len(y)) + 1e-9
     assert ranking.scores(good).min() >= 0 and ((ranking.scores(bad) >= 0.3) == (y @ ranking.weights >= ranking.threshold)).all()
+
+
+def test_shared_and_missing_ids_are_put_in_order_block_by_block(spark):
+    """A third of the rows has no id and a third has one: the order goes on over all of them, and no block holds many."""
+    dice = random.Random(17)
+    text = lambda: " ".join(f"w{dice.randrange(10_000)}" for _ in range(12))
+    rows = [(dice.choice([None, 7, dice.randrange(10_000)]), text()) for _ in range(6_000)]
+    rows += [(1 << 60, text()), ((1 << 60) + 1, text()), (-(1 << 62), text()), (7, rows[0][1]), (7, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+    got = order_minhash.compare_edited(docs)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    # Equal ids and hashes are equal texts here.
+    expected = Counter()
+    for (i, this), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(this) // 2
+        expected[(i, this[: len(this) - half] + after[:half])] += 1
+    assert Counter((r.doc_id, r.edited) for r in got.select("doc_id", "edited").collect()) == expected
+
+
+def test_blocks_of_one_id_are_even(spark):
+    docs = spark.range(20_000).select(F.lit(3).cast("bigint").alias("id"), F.col("id").cast("string").alias("text"))
+    rows = order_minhash.with_next(docs, ["text"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 20_000 and "windowspecdefinition(block" in plan
+    sizes = docs.withColumn("place", 3 * 2.0**64 + F.xxhash64("text").cast("double"))
+    sizes = sizes.groupBy(order_minhash._block(sizes, 20_000).alias("block")).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 4 * 256 and sizes[1] > 40
