@@ -15,7 +15,7 @@ from tidelog.config import PURCHASE, EntitySpec
 from tidelog.operators.timeline import union_sources
 from tidelog.plans.history import history_of
 from tidelog.plans.layers import Layers, ingest, malformed_lines, run_layers, stored_layer
-from tidelog.session import object_store_conf, shared_folder
+from tidelog.session import clear_shared_folders, object_store_conf, shared_folder
 from tidelog.sources.buckets import write_buckets
 from tidelog.sources.events import MALFORMED, REASON, read_events, typed_events
 from tidelog.sources.tables import read_table, write_days
@@ -278,6 +278,16 @@ def test_shared_folder_follows_the_session(spark):
     assert first.startswith(f"{root}/x-") and first != second
 
 
+def test_shared_folders_are_deleted_when_asked(spark, monkeypatch):
+    monkeypatch.setattr("tidelog.session._MADE", {})
+    folder = shared_folder(spark, "x")
+    spark.range(3).write.parquet(folder)
+    assert Path(folder).exists()
+    clear_shared_folders(spark)
+    assert not Path(folder).exists()
+    clear_shared_folders(spark)
+
+
 def test_object_store_settings():
     conf = object_store_conf("http://store:9000", "key", "secret", tls=False)
     assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000"

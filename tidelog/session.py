@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 APP_NAME = "tidelog"
+_MADE: dict[str, list[str]] = {}
 
 # Event times are zone-less, so no result depends on the zone; pinning it keeps display stable.
 # The adaptive settings are Spark's defaults, stated because the layer writer and the joins rely on
@@ -61,4 +62,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tidelog-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_shared_folders(spark: SparkSession) -> None:
+    """Delete the folders :func:`shared_folder` has named in this application. Frames that read them are void."""
+    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
